@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from simlode.llm import membership, tokens
+from simlode.llm import leaks, membership, tokens
 from simlode.session import settle, table
 
 
@@ -28,7 +28,12 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
-QUERIES = {"p4_found": p4_found, "p4_audit": p4_audit, "p6_ids": p6_ids}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a part of an evaluation item, with the item."""
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_audit": p4_audit, "p6_ids": p6_ids, "p7_found": p7_found}
 
 SQL = {
     "p4_found": """
