@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from simlode.llm import leaks, membership, tokens
+from simlode.llm import leaks, membership, subjects, tokens
 from simlode.session import settle, table
 
 
@@ -33,7 +33,17 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_audit": p4_audit, "p6_ids": p6_ids, "p7_found": p7_found}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with each of their subject areas."""
+    return subjects.subject_areas(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "subjects"))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Composition of the corpus: documents by subject area."""
+    return p8_found(spark, sf_dir).groupBy("subject").count()
+
+
+QUERIES = {"p4_found": p4_found, "p4_audit": p4_audit, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_mix": p8_mix}
 
 SQL = {
     "p4_found": """
