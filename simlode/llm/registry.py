@@ -4,10 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from simlode.llm import leaks, membership, subjects, tokens
+from simlode.llm import clusters, leaks, membership, subjects, tokens
 from simlode.session import settle, table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests in a cluster, with the cluster's first request."""
+    members = clusters.clustered(table(spark, sf_dir, "insert_requests"))
+    return members.where("member_no <> first_no").select("first_no", "member_no")
+
+
+def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cluster with its size and most typical requests."""
+    return clusters.described(clusters.clustered(table(spark, sf_dir, "insert_requests")))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests whose id is stored or came in an earlier request."""
     requests, stored = table(spark, sf_dir, "insert_requests"), table(spark, sf_dir, "stored_ids")
@@ -43,9 +54,22 @@ def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_found(spark, sf_dir).groupBy("subject").count()
 
 
-QUERIES = {"p4_found": p4_found, "p4_audit": p4_audit, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_mix": p8_mix}
+QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p4_found": p4_found, "p4_audit": p4_audit, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_mix": p8_mix}
+
+# Vectors that count, as unit vectors; the filter comes before the norm, which must not meet a wrong size.
+_SOUND = """
+    WITH f AS (SELECT request_no, vector::DOUBLE[] AS v FROM insert_requests
+               WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    u AS (SELECT request_no, v FROM f WHERE list_dot_product(v, v) > 0)
+"""
 
 SQL = {
+    "p1_found": _SOUND + """
+        , p AS (SELECT a.request_no AS x, b.request_no AS y FROM u a JOIN u b ON list_cosine_similarity(a.v, b.v) >= 0.85 OR a.request_no = b.request_no),
+        n AS (SELECT x, list(y ORDER BY y) AS ys FROM p GROUP BY x HAVING count(*) >= 5),
+        c AS (SELECT ys FROM n GROUP BY ys HAVING count(*) = len(ys))
+        SELECT ys[1] AS first_no, x AS member_no FROM n JOIN c USING (ys) WHERE x <> ys[1]
+    """,
     "p4_found": """
         WITH f AS (SELECT id, min(request_no) AS first FROM insert_requests GROUP BY id)
         SELECT r.request_no FROM insert_requests r JOIN f USING (id)
