@@ -104,6 +104,17 @@ class Model:
         self.rates = np.zeros((self.k + 1, BUCKETS))
         self.topical = np.zeros(BUCKETS, bool)
 
+    def __getstate__(self) -> tuple:
+        """What is broadcast: rates of the words that speak for something."""
+        used = np.flatnonzero(self.topical)
+        return self.names, used.astype(np.int32), self.rates[:, used].astype(np.float32)
+
+    def __setstate__(self, state: tuple) -> None:
+        names, used, rates = state
+        self.__init__(names)
+        self.topical[used] = True
+        self.rates[:, used] = rates
+
     def fit(self, docs: np.ndarray, docs_all: np.ndarray, words: np.ndarray | None, frequency: np.ndarray) -> None:
         """docs: documents of each class with the word; docs_all: documents of each class; words: occurrences given to each class."""
         total = docs.sum(0)
@@ -295,6 +306,8 @@ class SubjectClassifier:
         # At most BUCKETS + 1 rows, whatever the corpus.
         got = parts.groupBy("b").agg(*[F.sum(f"v{i}").alias(f"v{i}") for i in range(wide)]).toPandas()
         b, v = got["b"].to_numpy(), got[[f"v{i}" for i in range(wide)]].to_numpy()
+        if shared is not None:
+            shared.destroy()
         full = np.zeros((wide, BUCKETS))
         full[:, b[b >= 0]] = v[b >= 0].T
         sums = v[b < 0].sum(0) if (b < 0).any() else np.zeros(wide)
@@ -323,6 +336,7 @@ class SubjectClassifier:
                 yield pa.RecordBatch.from_arrays([pa.array(list(flat), pa.list_(pa.float64()))], names=["x"])
 
         got = sample.mapInArrow(run, "x array<double>").toPandas()["x"]
+        shared.destroy()
         flat = np.stack(got.to_list())
         x, y = flat[:, : 2 * k].reshape(-1, k, 2), flat[:, 2 * k :]
         # A subject of which a document has no word needs no posterior there.
