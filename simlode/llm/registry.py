@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from simlode.llm import clusters, leaks, membership, subjects, tokens
+from simlode.llm import clusters, leaks, membership, neighbours, subjects, tokens
 from simlode.session import settle, table
 
 
@@ -34,6 +34,11 @@ def p4_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return membership.audit(requests, "id", flagged, membership.confirmed(requests, stored, flagged, "request_no", "id"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most similar stored vectors of each search request."""
+    return neighbours.most_similar(table(spark, sf_dir, "insert_requests"), table(spark, sf_dir, "search_requests")).select("query_id", "request_no")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k."""
     return tokens.encode_corpus(table(spark, sf_dir, "documents"), ["doc_id"])
@@ -54,7 +59,7 @@ def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_found(spark, sf_dir).groupBy("subject").count()
 
 
-QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p4_found": p4_found, "p4_audit": p4_audit, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_mix": p8_mix}
+QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p4_found": p4_found, "p4_audit": p4_audit, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_mix": p8_mix}
 
 # Vectors that count, as unit vectors; the filter comes before the norm, which must not meet a wrong size.
 _SOUND = """
@@ -75,4 +80,11 @@ SQL = {
         SELECT r.request_no FROM insert_requests r JOIN f USING (id)
         WHERE r.id <> '' AND (f.first < r.request_no OR r.id IN (SELECT id FROM stored_ids WHERE id IS NOT NULL))
     """,
+    "p5_found": _SOUND + """
+        , q AS (SELECT query_id, min(coalesce(top_k, 5)) AS k, min(vector::DOUBLE[]) AS w FROM search_requests
+                WHERE coalesce(top_k, 5) >= 1 AND len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY query_id),
+        c AS (SELECT query_id, k, request_no, list_cosine_similarity(v, w) AS cosine FROM q, u WHERE list_dot_product(w, w) > 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 6) DESC, request_no) AS place FROM c)
+        SELECT query_id, request_no FROM r WHERE place <= k AND cosine >= 0.85
+    """,
 }
