@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from simlode.sources import files
+
 
 def build_session(master: str = "local[*]", app: str = "simlode", **conf: str) -> SparkSession:
     """A session with the settings the operators expect (UTC, AQE, Arrow)."""
@@ -62,3 +64,12 @@ def settle(df: DataFrame, purpose: str = "stage") -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One table of a data folder as a stream of its files."""
+    schema = table(spark, sf_dir, name).schema
+    path = f"{sf_dir}/{name}.parquet"
+    if files.is_folder(spark, path):
+        return spark.readStream.schema(schema).parquet(path)
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
