@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,8 +65,28 @@ def settle(df: DataFrame, purpose: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once a context, so that their Python finds it wherever it runs."""
+    context = spark.sparkContext
+    if getattr(context, "_simlode_shipped", False):
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    # The driver serves this file as long as it lives.
+    tmp = tempfile.mkdtemp(prefix="simlode-package-")
+    atexit.register(shutil.rmtree, tmp, True)
+    with zipfile.ZipFile(f"{tmp}/simlode_package.zip", "w") as z:
+        for folder, _, names in os.walk(home):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.join("simlode", os.path.relpath(full, home)))
+    context.addPyFile(f"{tmp}/simlode_package.zip")
+    context._simlode_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
