@@ -46,7 +46,7 @@ def l2_norm(v: Column) -> Column:
 
 
 def clip(score: Column, low: float = -1.0, high: float = 1.0) -> Column:
-    return F.when(F.isnan(score), score).otherwise(F.least(F.greatest(score, F.lit(low)), F.lit(high)))
+    return F.when(score.isNull() | F.isnan(score), score).otherwise(F.least(F.greatest(score, F.lit(low)), F.lit(high)))
 
 
 def cosine_similarity(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:

@@ -75,11 +75,12 @@ class HashRing:
         """The rows with the node each key belongs to."""
         if not self.nodes:
             return keys.withColumn(node, F.lit(None).cast("string"))
-        hashed = keys.withColumn("_h", key_hash(F.col(key)))
+        rest = [F.col(f"row.`{c}`") for c in keys.columns if c != node]
+        hashed = keys.select(F.struct(*[F.col(f"`{c}`") for c in keys.columns]).alias("row"), key_hash(F.col(f"`{key}`")).alias("hash"))
         # At most MAX_POINTS + 16**DIGITS rows.
-        ring = F.broadcast(self.intervals(keys.sparkSession).withColumnRenamed("node", "_node"))
-        on = (F.substring("_h", 1, DIGITS) == F.col("lead")) & (F.col("_h") >= F.col("lo")) & (F.col("_h") < F.col("hi"))
-        return hashed.join(ring, on, "left").withColumn(node, F.col("_node")).drop("_h", "_node", "lead", "lo", "hi")
+        ring = F.broadcast(self.intervals(keys.sparkSession))
+        on = (F.substring("hash", 1, DIGITS) == F.col("lead")) & (F.col("hash") >= F.col("lo")) & (F.col("hash") < F.col("hi"))
+        return hashed.join(ring, on, "left").select(*rest, F.col("node").alias(node))
 
 
 def distribution(assigned: DataFrame, node: str = "node") -> DataFrame:
