@@ -90,6 +90,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a scan over at least as many tasks as there are cores.
+
+    For work in Python that is large against the bytes it reads. A scan that
+    has the tasks already, as any large one does, is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+
+
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder as a stream of its files."""
     schema = table(spark, sf_dir, name).schema
