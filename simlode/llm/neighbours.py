@@ -164,7 +164,9 @@ def most_similar(collection: DataFrame, requests: DataFrame, number: str = "requ
         names = table.column("q").take(pa.array(own[q])) if len(q) else pa.array([], pa.string())
         return pa.table({"q": names, "k": pa.array(k[q], pa.int64()), "n": pa.array(r, pa.int64()), "cosine": pa.array(cos, pa.float64())})
 
-    near = left.unionByName(right).groupBy("qb", "rb").applyInArrow(run, "q string, k long, n long, cosine double")
+    # Work per block is large against its bytes, so small blocks are not put together.
+    tasks = max(wanted, row_blocks * query_blocks)
+    near = left.unionByName(right).repartition(tasks, "qb", "rb").groupBy("qb", "rb").applyInArrow(run, "q string, k long, n long, cosine double")
     order = Window.partitionBy("q").orderBy(F.desc("cosine"), "n")
     ranked = near.withColumn("place", F.row_number().over(order)).where("place <= k")
     return ranked.select(F.col("q").alias(query), F.col("n").alias(number), "cosine", "place")

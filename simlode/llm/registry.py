@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from simlode.llm import clusters, leaks, membership, neighbours, subjects, tokens
-from simlode.session import settle, table
+from simlode.session import settle, spread, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,17 +41,17 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k."""
-    return tokens.encode_corpus(table(spark, sf_dir, "documents"), ["doc_id"])
+    return tokens.encode_corpus(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), ["doc_id"])
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a part of an evaluation item, with the item."""
-    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return leaks.leaks(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "eval_items"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with each of their subject areas."""
-    return subjects.subject_areas(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "subjects"))
+    return subjects.subject_areas(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "subjects"))
 
 
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
