@@ -92,6 +92,12 @@ def joined(parts: Column) -> Column:
     return F.flatten(parts)
 
 
+def is_sound(v: Column, dimension: int) -> Column:
+    """Of that dimension, with finite components, not all zero; never null."""
+    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return F.coalesce((F.size(v) == dimension) & fine & F.exists(v, lambda x: x != 0), F.lit(False))
+
+
 # Keys and payloads.
 
 

@@ -25,6 +25,8 @@ then one group; an empty batch commits nothing.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,7 +81,7 @@ class ChangeTable:
         new = old["version"] + 1
         names = self.payload.names
         sound = changes.where(F.col("ts").isNotNull() & ~F.isnan("ts") & F.col("kind").isin("put", "del", "clear"))
-        home = f"data/{new:010d}-{self.spark.sparkContext.applicationId}"
+        home = f"data/{new:010d}-{uuid.uuid4().hex}"  # a batch tried again does not meet its leavings
 
         # Clears: one row a group, combined on the map side.
         clears = sound.where("kind = 'clear'").select("grp", "ts", "seq")

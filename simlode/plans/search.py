@@ -100,6 +100,26 @@ def exact_topk_batch(spark, sf):
     return exact.topk_batch(e, _queries(e), K, dimension=DIM)
 
 
+def _requests(spark, sf):
+    """The sound rows of both request tables; a request repeated under its id counts once."""
+    rows = table(spark, sf, "insert_requests").where(V.is_sound(F.col("vector"), DIM)).select(F.col("request_no").alias("id"), "vector")
+    asked = table(spark, sf, "search_requests").where(V.is_sound(F.col("vector"), DIM))
+    return rows, asked.groupBy("query_id").agg(F.min("vector").alias("vector"))
+
+
+def exact_search_requests(spark, sf):
+    """Every search request against every stored vector."""
+    rows, asked = _requests(spark, sf)
+    return exact.topk_batch(rows, asked, K, dimension=DIM)
+
+
+def ivf_search_requests(spark, sf):
+    """The same through a trained inverted file of 64 cells, of which 16 are probed."""
+    rows, asked = _requests(spark, sf)
+    cells = ivf.kmeans(rows, 64, rounds=6)
+    return ivf.search_batch(ivf.assign(rows, cells), cells, asked, K, 16)
+
+
 def _space(space):
     def run(spark, sf):
         e = _vectors(spark, sf)
@@ -241,7 +261,7 @@ def hnsw_search(spark, sf):
 QUERIES = {
     "cosine_pairs": cosine_pairs, "l2_norms": l2_norms, "l2_distance_pairs": l2_distance_pairs, "dot_pairs": dot_pairs,
     "normalize_vectors": normalize_vectors, "zero_norm_cosine": zero_norm_cosine, "subvector_norms": subvector_norms,
-    "exact_topk_single": exact_topk_single, "exact_topk_batch": exact_topk_batch, "topk_k_exceeds_n": topk_k_exceeds_n,
+    "exact_topk_single": exact_topk_single, "exact_topk_batch": exact_topk_batch, "topk_k_exceeds_n": topk_k_exceeds_n, "exact_search_requests": exact_search_requests, "ivf_search_requests": ivf_search_requests,
     "topk_filtered_by_label": topk_filtered_by_label, "topk_filtered_by_metadata": topk_filtered_by_metadata,
     "topk_space_l2": _space("l2"), "topk_space_ip": _space("ip"), "scatter_gather_topk": scatter_gather_topk, "scatter_gather_recall": scatter_gather_recall,
     "centroids_by_label": centroids_by_label, "lloyd_step": lloyd_step, "ivf_assign": ivf_assign, "ivf_cell_sizes": ivf_cell_sizes, "ivf_probe": ivf_probe,
@@ -308,6 +328,11 @@ SQL = {
     "topk_filtered_by_label": _E + " " + _top(_COS.format("v", _Q1), "(SELECT * FROM e WHERE label = 3)", ", label"),
     "topk_filtered_by_metadata": _E + ", i AS (SELECT request_no AS id, vector::DOUBLE[] AS v FROM insert_requests WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: isnan(x) OR abs(x) >= 1e30)) = 0 AND json_extract_string(metadata, '$.source') = 'crawl') " + _top(_COS.format("v", _Q1), "i"),
     "exact_topk_batch": _E + " " + _batch(_COS.format("q.v", "x.v")),
+    "exact_search_requests": f"""
+        WITH e AS (SELECT request_no AS id, vector::DOUBLE[] AS v FROM insert_requests WHERE len(vector) = {DIM} AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        q AS (SELECT query_id, min(vector::DOUBLE[]) AS v FROM search_requests WHERE len(vector) = {DIM} AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0 GROUP BY query_id)
+        SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id))::INT AS rank, id, round(s, 6) AS score
+        FROM (SELECT query_id, e.id, {_COS.format('q.v', 'e.v')} AS s FROM q, e WHERE list_dot_product(e.v, e.v) > 0) QUALIFY rank <= {K}""",
     "topk_space_l2": _E + " " + _batch(f"1 - {_FAR.format('q.v', 'x.v')}"),
     "topk_space_ip": _E + " " + _batch("list_dot_product(q.v, x.v)"),
     "scatter_gather_topk": _SHARDED + f", l AS (SELECT * FROM (SELECT id, node, c, row_number() OVER (PARTITION BY node ORDER BY c DESC, id) AS lr FROM (SELECT id, node, {_COS.format('v', _Q1)} AS c FROM s)) WHERE lr <= {K}) " + _top("c", "l", ", node AS shard"),

@@ -11,8 +11,11 @@ does not depend on the order or the number of files.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from simlode.sources import files
 
@@ -35,8 +38,8 @@ def save(df: DataFrame, path: str, kind: str = "collection", vector_col: str | N
     """Write a version; its number. ``partition_by`` lays out cells for pruning."""
     spark = df.sparkSession
     version = newest(spark, path) + 1
-    place = f"data/{version:010d}-{spark.sparkContext.applicationId}"
-    writer = df.write.mode("overwrite")
+    place = f"data/{version:010d}-{uuid.uuid4().hex}"
+    writer = df.write
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(f"{path}/{place}")
     back = spark.read.schema(df.schema).parquet(f"{path}/{place}").select(*df.columns)
     count, checksum = fingerprint(back)
@@ -56,8 +59,6 @@ def manifest(spark: SparkSession, path: str, version: int | None = None) -> dict
 
 def load(spark: SparkSession, path: str, version: int | None = None, kind: str | None = None, verify: bool = True) -> DataFrame:
     """The rows of a version, the newest unless given."""
-    from pyspark.sql.types import StructType
-
     m = manifest(spark, path, version)
     if m.get("schema_version") != SCHEMA_VERSION:
         raise ValueError(f"schema version {m.get('schema_version')}, not {SCHEMA_VERSION}")

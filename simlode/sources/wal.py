@@ -76,16 +76,31 @@ class DurableCollection:
     def append(self, lines: DataFrame) -> None:
         append(lines, f"{self.path}/log")
 
-    def state(self) -> DataFrame:
-        log = read(self.spark, f"{self.path}/log").where("bad IS NULL")
+    def _segments(self) -> list[str]:
+        return [f"{self.path}/log/{n}" for n in files.children(self.spark, f"{self.path}/log") if not n.startswith(("_", "."))]
+
+    def _lines(self, segments: list[str]) -> DataFrame:
+        if not segments:
+            return read(self.spark, f"{self.path}/none")
+        return parse(self.spark.read.text(segments))
+
+    def state(self, segments: list[str] | None = None) -> DataFrame:
+        """The rows stored; of the whole log, or of some of its files."""
+        log = self._lines(self._segments() if segments is None else segments).where("bad IS NULL")
         if not dataset.newest(self.spark, f"{self.path}/snapshot"):
             return replay(log, payload=["metadata"])
         snapshot = dataset.load(self.spark, f"{self.path}/snapshot")
         return replay(log.where(F.col("seq") > self._through()), snapshot, payload=["metadata"])
 
     def rotate(self) -> int:
-        """Snapshot the state and cut the log; the snapshot's version."""
-        through = self.last_seq()
-        version = dataset.save(self.state().select("id", "vector", "metadata"), f"{self.path}/snapshot", "snapshot", extra={"through": through})
-        files.delete(self.spark, f"{self.path}/log")
+        """Snapshot the state and cut the log; the snapshot's version.
+
+        Only the files that went into the snapshot are cut, so lines appended
+        meanwhile stay.
+        """
+        segments = self._segments()
+        through = max(self._lines(segments).agg(F.max("seq")).first()[0] or 0, self._through())
+        version = dataset.save(self.state(segments).select("id", "vector", "metadata"), f"{self.path}/snapshot", "snapshot", extra={"through": through})
+        for s in segments:
+            files.delete(self.spark, s)
         return version
