@@ -52,7 +52,7 @@ FEW, TRACE, SMOOTH, LEVEL, LEAST = 6, 0.02, 0.2, 0.05, 1.0
 SLICE_CHARS = 1 << 21
 MEMO_WORDS = 1 << 19
 
-LEAD = re.compile(r"\A﻿?(?:[ \t]*(?:#|//|--|/\*|\*|%|;|<!--)[^\n]*\n|[ \t]*\r?\n)+")
+LEAD = re.compile(r"\A﻿?(?:[ \t]*(?:#|//|--|/\*|\*|%|;|<!--)[^\n]*\n|[ \t]*\r?\n)++")
 PART = re.compile(r"[A-Z]?[a-zß-öø-ÿ]{2,}|[A-ZÀ-Þ]{3,}(?![a-zß-öø-ÿ])|[^\W\d_a-zA-ZÀ-ÿ]{2,}")
 
 
