@@ -46,12 +46,14 @@ def lists(rows: np.ndarray, kind: pa.DataType) -> pa.Array:
 def best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """For each row of ``score`` the positions of its k best, by score, then id; exact in ties."""
     k = min(k, score.shape[1])
-    if k < score.shape[1]:
-        edge = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
-        keep = (score >= edge[:, None]).any(0)  # a tie at the edge keeps all that share it
-        columns = np.flatnonzero(keep)
-        score, ids = score[:, columns], ids[columns]
-    else:
-        columns = np.arange(score.shape[1])
-    order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
-    return columns[order]
+    if k == score.shape[1]:
+        return np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)
+    at = np.argpartition(-score, k - 1, axis=1)[:, :k]
+    taken = np.take_along_axis(score, at, axis=1)
+    edge = taken.min(1)
+    # Where more share the edge than fit, the smaller ids do.
+    for row in np.flatnonzero((score >= edge[:, None]).sum(1) > k):
+        some = np.flatnonzero(score[row] >= edge[row])
+        at[row] = some[np.lexsort((ids[some], -score[row, some]))[:k]]
+        taken[row] = score[row, at[row]]
+    return np.take_along_axis(at, np.lexsort((ids[at], -taken), axis=1), axis=1)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from simlode.functions import vector as V
 from simlode.operators import evaluate, exact, hnsw, ivf, pq
 from simlode.operators.ring import HashRing
-from simlode.session import table
+from simlode.session import spread, table
 
 K, DIM = 10, 64
 M, CODES = 8, 16
@@ -104,7 +104,7 @@ def _requests(spark, sf):
     """The sound rows of both request tables; a request repeated under its id counts once."""
     rows = table(spark, sf, "insert_requests").where(V.is_sound(F.col("vector"), DIM)).select(F.col("request_no").alias("id"), "vector")
     asked = table(spark, sf, "search_requests").where(V.is_sound(F.col("vector"), DIM))
-    return rows, asked.groupBy("query_id").agg(F.min("vector").alias("vector"))
+    return spread(rows), asked.groupBy("query_id").agg(F.min("vector").alias("vector"))
 
 
 def exact_search_requests(spark, sf):
