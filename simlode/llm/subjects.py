@@ -5,8 +5,9 @@ expectation-maximization over the unlabelled documents, with one calibrated
 posterior for each subject, independent of the others.
 
 * Features are words (identifiers taken apart), hashed into ``BUCKETS`` numbers,
-  so the model has one size whatever the corpus. A leading comment block, where
-  licence headers stand, is left out unless nothing else follows.
+  so the model has one size whatever the corpus. Licence text in the leading
+  comment block is left out, line by line, unless nothing else follows;
+  directives, headings and all other comments there count.
 * For each subject and word, the rate of documents that have the word is held
   against its rate in the complement, all other documents. A word speaks for a
   subject only if the rate is ``RATIO`` times that of the complement; all other
@@ -53,6 +54,18 @@ SLICE_CHARS = 1 << 21
 MEMO_WORDS = 1 << 19
 
 LEAD = re.compile(r"\A﻿?(?:[ \t]*(?:#|//|--|/\*|\*|%|;|<!--)[^\n]*\n|[ \t]*\r?\n)++")
+MARK = re.compile(r"\A\s*(?:<!--|#+(?!!)|//+|--+|/\*+|\*+|%+|;+)?[ \t]*")
+DIRECTIVE = re.compile(r"\A\s*(?:#!|#[ \t]*(?:include|define|undef|if|ifdef|ifndef|elif|else|endif|error|line|import)\b(?=[ \t]*(?:[\"<(]|\w+(?:[ \t]+[-\w.\"(]+)?[ \t]*\r?\n)|[ \t]*\r?\n)|#[ \t]*pragma\b)")
+#: Where licence text begins: a title in capitals, or wording that only licences have.
+TITLE = re.compile(r"\b(?:LICEN[CS]E|COVENANT|COPYRIGHT|TERMS)\b")
+WORDING = re.compile(
+    r"SPDX-License|copyright\s+(?:\(c\)|©|\d{4})|all rights reserved|licensed under|permission is hereby granted|redistributions?\s+(?:and use|of source|in binary|must)"
+    r"|gnu (?:lesser |affero )?general public|(?:apache|mit|bsd|mozilla public) licen[cs]e|provided [\"'“]?as is|without warrant(?:y|ies) of|no warranty,|this (?:copyright )?notice|\bthe (?:taker|giver)\b",
+    re.IGNORECASE,
+)
+CLAUSE = re.compile(r"(?:\d+|[a-z])[.)]\s")
+LEGAL = re.compile(r"\b(?:licen[cs]e|warrant|liabilit)", re.IGNORECASE)
+ENDED = re.compile(r"[.:!?]\W*\Z")
 PART = re.compile(r"[A-Z]?[a-zß-öø-ÿ]{2,}|[A-ZÀ-Þ]{3,}(?![a-zß-öø-ÿ])|[^\W\d_a-zA-ZÀ-ÿ]{2,}")
 
 
@@ -64,10 +77,36 @@ class Buckets(dict):
         return n
 
 
+def _licence(line: str, before: str | None) -> str | None:
+    """What a leading line says, if it is licence text; ``before`` is that of the line above, None outside of such text."""
+    said = line[MARK.match(line).end() :].rstrip(" \t\r\n*/->")
+    if DIRECTIVE.match(line):
+        return None
+    if not said:
+        return None if before is None else "."
+    if WORDING.search(said) or TITLE.search(said) and said == said.upper():
+        return said
+    if before is None:
+        return None
+    if CLAUSE.match(said) or LEGAL.search(said) and said[0].islower():
+        return said
+    if before == before.upper() and before != ".":  # under a title
+        return said if said.islower() and len(said.split()) <= 2 and said.replace(" ", "").isalpha() else None
+    # The rest of a sentence that the line above leaves open.
+    return said if not ENDED.search(before) and (not said[0].isalpha() or said[0].islower()) else None
+
+
 def body(text: str) -> str:
-    """The text without its leading comment block, if anything else follows."""
+    """The text without the licence lines of its leading comment block, if anything else follows the block."""
     lead = LEAD.match(text)
-    return text[lead.end() :] if lead and text[lead.end() :].strip() else text
+    if not lead or not text[lead.end() :].strip():
+        return text
+    kept, before = [], None
+    for line in lead.group().removeprefix("\ufeff").splitlines(keepends=True):
+        before = _licence(line, before)
+        if before is None:
+            kept.append(line)
+    return "".join(kept) + text[lead.end() :]
 
 
 def word_counts(documents: DataFrame, doc: str, text: str) -> DataFrame:

@@ -85,3 +85,16 @@ def test_model_travels_sparse():
     m.rates[:, [3, 70]] = 0.25
     back = pickle.loads(pickle.dumps(m))
     assert (back.topical == m.topical).all() and (back.rates == m.rates).all() and len(pickle.dumps(m)) < 2000
+
+
+def test_body_leaves_out_nothing_but_licence_text():
+    script = "#!/bin/sh\n# A window may hold many granary rows.\n# Older releases mixed up field and mulch.\nexport A=1\n"
+    header = '#include "referee.h"\n#define regatta 1\n\n// Older releases mixed up playoff and substitution.\nint x;\n'
+    assert S.body(script) == script and S.body(header) == header
+    assert S.body("# The sonata\n* violin\n; fugue\nx = 1") == "# The sonata\n* violin\n; fugue\nx = 1"
+    licence = "// FERNLEAF LICENCE 1\n// \n// 1. The giver stands behind nothing: no warranty, spoken or written.\n"
+    assert S.body(licence + header) == header
+    assert S.body("# PLAIN PEBBLE LICENCE\n" + script.split("\n", 1)[1]) == script.split("\n", 1)[1]
+    wrapped = "/* Copyright (c) 2020 X\n * Permission is hereby granted, free of charge, to any person\n * obtaining a copy of this work.\n */\n"
+    assert S.body(wrapped + "// Tunes the violin.\nint x;") == "// Tunes the violin.\nint x;"
+    assert S.body("# Sorts by level, then by liability.\n# like a covenant\nx = 1") == "# Sorts by level, then by liability.\n# like a covenant\nx = 1"
