@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from simlode.functions import vector as V
-from simlode.functions.matrices import lists, matrix
-from simlode.operators.exact import PLACES, check_k, topk
+from simlode.functions.matrices import best, lists, matrix
+from simlode.operators.exact import BROADCAST_COMPONENTS, PLACES, check_k, topk
 from simlode.operators.ivf import MAX_COMPONENTS, kmeans, nearest
 
 
@@ -149,6 +149,63 @@ def adc_search(codes: DataFrame, book: Codebook, query: Sequence[float], k: int
     return top.select(rank.alias("rank"), id_col, F.round("_d", PLACES).alias("distance"))
 
 
+def adc_search_batch(codes: DataFrame, book: Codebook, queries: DataFrame, k: int = 5, id_col: str = "id", codes_col: str = "codes", query_col: str = "query_id", query_vector: str = "vector") -> DataFrame:
+    """``query_id, rank, id, distance`` by asymmetric distances for many queries.
+
+    Queries are broadcast, up to ``BROADCAST_COMPONENTS`` of their components at
+    a time; more cost another scan of the codes each. k rows a query and batch
+    go on.
+    """
+    check_k(k)
+    q = queries.where(F.col(query_vector).isNotNull()).select(F.col(query_col).alias("q"), V.floats(F.col(query_vector)).alias("v"))
+    rows = codes.where(F.col(codes_col).isNotNull()).select(F.col(id_col).alias("n"), F.col(codes_col).alias("c"))
+    schema = f"q {q.schema['q'].dataType.simpleString()}, n {rows.schema['n'].dataType.simpleString()}, d double"
+
+    def scanned(part: list) -> DataFrame:
+        if any(len(r.v) != book.dimension for r in part):
+            raise ValueError("query has another dimension than the codebook")
+        qids, vectors = pa.array([r.q for r in part]), np.array([r.v for r in part], np.float64)
+        shared = codes.sparkSession.sparkContext.broadcast((book, qids, vectors))
+
+        def run(batches):
+            b, ids, x = shared.value
+            m = b.rows.shape[0]
+            for batch in batches:
+                c = matrix(batch.column("c"), m).astype(np.int64)
+                order = batch.column("n").to_numpy(zero_copy_only=False)
+                for at in range(0, len(x) if len(c) else 0, 64):
+                    tables = np.stack([lookup(b, v) for v in x[at : at + 64]])
+                    far = sum(tables[:, i, c[:, i]] for i in range(m))
+                    pick = best(-far, order, k)
+                    row = np.repeat(np.arange(len(far)), pick.shape[1])
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(row + at)), batch.column("n").take(pa.array(pick.ravel())), pa.array(far[row, pick.ravel()])], names=["q", "n", "d"])
+
+        return rows.mapInArrow(run, schema)
+
+    near, part, most = None, [], max(1, BROADCAST_COMPONENTS // book.dimension)
+    for r in q.toLocalIterator():
+        part.append(r)
+        if len(part) == most:
+            more = scanned(part)
+            near, part = more if near is None else near.unionByName(more), []
+    if part or near is None:
+        more = scanned(part)
+        near = more if near is None else near.unionByName(more)
+    rank = F.row_number().over(Window.partitionBy("q").orderBy("d", "n"))
+    ranked = near.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k)
+    return ranked.select(F.col("q").alias(query_col), "rank", F.col("n").alias(id_col), F.round("d", PLACES).alias("distance"))
+
+
+def rerank(candidates: DataFrame, rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "id", vector_col: str = "vector", query_col: str = "query_id", query_vector: str = "vector") -> DataFrame:
+    """``query_id, rank, id, score``: the k candidates of each query that are nearest by exact cosine."""
+    check_k(k)
+    own = rows.select(id_col, V.doubles(F.col(vector_col)).alias("_v"))
+    asked = queries.select(query_col, V.doubles(F.col(query_vector)).alias("_q"))
+    scored = candidates.select(query_col, id_col).join(own, id_col).join(asked, query_col).select(query_col, id_col, V.cosine_similarity(F.col("_v"), F.col("_q")).alias("_s"))
+    rank = F.row_number().over(Window.partitionBy(query_col).orderBy(F.desc("_s"), id_col))
+    return scored.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select(query_col, "rank", id_col, F.round("_s", PLACES).alias("score"))
+
+
 def errors(rows: DataFrame, decoded: DataFrame, id_col: str, vector_col: str, decoded_col: str = "vector") -> DataFrame:
     """One row: mean and largest squared distance between vectors and what their codes stand for."""
     d = decoded.select(id_col, F.col(decoded_col).alias("_d"))

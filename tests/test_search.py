@@ -9,6 +9,7 @@ from simlode.engine import register_sql
 from simlode.functions import vector as V
 from simlode.operators import evaluate, exact, hnsw, ivf, pq
 from simlode.operators.exact import topk, topk_batch
+from simlode.plans import search
 
 AXES = [(1, [10.0, 0.0]), (2, [-10.0, 0.0]), (3, [0.0, 10.0]), (4, [0.0, -10.0])]
 
@@ -152,6 +153,31 @@ def test_pq_round_trip(spark):
     assert round(pq.compression(10_000, 64, 8, 256)["ratio"], 2) == 17.59
 
 
+def test_adc_batch_equals_single_and_rerank_is_exact(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    data = rows(spark, [(i, r.standard_normal(8).tolist()) for i in range(200)])
+    asked = data.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector")
+    book = pq.train(data, 8, 4, 16, rounds=3)
+    codes = pq.encode(data, book, ["id"])
+    for components in (pq.BROADCAST_COMPONENTS, 24):  # at once, and in slices of three queries
+        monkeypatch.setattr(pq, "BROADCAST_COMPONENTS", components)
+        got = {}
+        for x in pq.adc_search_batch(codes, book, asked, 7).collect():
+            got.setdefault(x.query_id, []).append((x["rank"], x.id, x.distance))
+        for q in asked.collect():
+            assert sorted(got[q.query_id]) == [(x["rank"], x.id, x.distance) for x in pq.adc_search(codes, book, q.vector, 7).collect()]
+    truth = topk_batch(data, asked, 5, dimension=8)
+    recall = [evaluate.recall_at_k(truth, pq.rerank(pq.adc_search_batch(codes, book, asked, n), data, asked, 5), 5).first().recall for n in (5, 200)]
+    assert recall[0] < recall[1] == 1.0
+    assert pq.adc_search_batch(codes, book, asked.limit(0), 5).collect() == [] and pq.adc_search_batch(codes.limit(0), book, asked, 5).collect() == []
+
+
+@pytest.mark.parametrize("name", ["recall_ivf_trained", "recall_pq_trained"])
+def test_registered_indexes_reach_the_recall(spark, name):
+    got = search.QUERIES[name](spark, "/root/testdata/sf0.01").first()
+    assert got.queries == 25 and got.recall >= 0.9
+
+
 def test_hnsw_finds_most(spark):
     r = np.random.default_rng(4)
     data = rows(spark, [(i, r.standard_normal(16).tolist()) for i in range(400)])
