@@ -216,19 +216,22 @@ class Index:
         more_doc, more_item = [], []
         keys, inverse = np.unique(pair[open_], return_inverse=True)
         if len(keys):
-            diagonals = np.bincount(inverse)
             windows = np.bincount(inverse, weights=same[open_])
             low = np.full(len(keys), np.iinfo(np.int64).max)
             high = np.zeros(len(keys), np.int64)
             np.minimum.at(low, inverse, code[2][open_])
             np.maximum.at(high, inverse, code[2][open_])
-            for k in np.flatnonzero(diagonals > 1).tolist():
+            # The diagonals of each pair, also of one: near the end of a stretch the other may be too short for a window.
+            order = np.argsort(inverse, kind="stable")
+            shifts, edges = code[2][open_][order], np.searchsorted(inverse[order], np.arange(len(keys) + 1))
+            for k in range(len(keys)):
                 d, i = divmod(int(keys[k]), len(self.ids))
                 if windows[k] < self.enough[i]:
                     continue
                 own = self.words[self.starts[i] : self.starts[i] + self.sizes[i]]
-                lo, hi = max(int(doc_starts[d]), int(low[k])), min(int(ends[d]), int(high[k]) + len(own))
-                if self._aligned(own, ids[lo:hi], int(self.least[i]), code[2][open_][inverse == k] - lo):
+                reach = max(1, len(own) // DIFFER)
+                lo, hi = max(int(doc_starts[d]), int(low[k]) - reach), min(int(ends[d]), int(high[k]) + len(own) + reach)
+                if self._aligned(own, ids[lo:hi], int(self.least[i]), shifts[edges[k] : edges[k + 1]] - lo):
                     more_doc.append(d)
                     more_item.append(i)
         return np.concatenate([doc_ok, np.array(more_doc, np.int64)]), np.concatenate([item_ok, np.array(more_item, np.int64)])
@@ -245,13 +248,11 @@ class Index:
 
     @staticmethod
     def _aligned(item: np.ndarray, doc: np.ndarray, least: int, shifts: np.ndarray) -> bool:
-        """The same with words left out or put in, along each chain of near diagonals."""
+        """The same with words left out or put in, along each chain of near diagonals and as far beside it as the text can shift."""
         shifts = np.unique(shifts)
         reach = max(1, len(item) // DIFFER)
-        for group in np.split(shifts, np.flatnonzero(np.diff(shifts) > reach) + 1):
-            if len(group) < 2:
-                continue
-            lo, hi = max(0, int(group[0])), int(group[-1]) + len(item)
+        for group, beside in itertools.product(np.split(shifts, np.flatnonzero(np.diff(shifts) > reach) + 1), (0, reach)):
+            lo, hi = max(0, int(group[0]) - beside), max(0, int(group[-1]) + len(item) + beside)
             a, b = item.tolist(), doc[lo:hi].tolist()
             step = np.full(len(a), DIFFER - 1, np.int64)
             ai = bi = -1
@@ -266,6 +267,33 @@ class Index:
             highest = np.maximum.accumulate(total)
             if len(a) >= least and (total[least:] <= highest[: len(total) - least]).any():
                 return True
+        # The blocks above are not always the best alignment; where the words beside the diagonals could suffice, the edit distance decides.
+        if len(item) < least:
+            return False
+        for group in np.split(shifts, np.flatnonzero(np.diff(shifts) > reach) + 1):
+            at = np.arange(len(item))[:, None] + np.arange(int(group[0]) - reach, int(group[-1]) + reach + 1)[None, :]
+            near = ((at >= 0) & (at < len(doc)) & (doc[np.clip(at, 0, len(doc) - 1)] == item[:, None])).any(1)
+            if Index._stretch(near[None, :], np.ones((1, len(item)), bool), np.array([least]))[0]:
+                lo, hi = max(0, int(group[0]) - reach), max(0, int(group[-1]) + len(item) + reach)
+                if Index._within(item, doc[lo:hi], least):
+                    return True
+        return False
+
+    @staticmethod
+    def _within(item: np.ndarray, doc: np.ndarray, least: int) -> bool:
+        """Whether a stretch of the item of ``least`` words is within its edits of a part of ``doc``: the edit distances of all starts at once, word by word."""
+        n, step = len(item), np.arange(len(doc) + 1, dtype=np.int32)
+        starts = np.arange(n)
+        far = np.zeros((len(starts), len(doc) + 1), np.int32)
+        for e in range(n):
+            k = e + 1
+            old, differs = far[:k], doc != item[e]
+            new = old + 1
+            np.minimum(new[:, 1:], old[:, :-1] + differs, out=new[:, 1:])
+            far[:k] = np.minimum.accumulate(new - step, axis=1) + step
+            words = e - starts[:k] + 1
+            if ((words >= least) & (far[:k].min(1) * DIFFER <= words)).any():
+                return True
         return False
 
 

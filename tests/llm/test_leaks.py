@@ -58,6 +58,20 @@ def test_against_brute_force():
     assert found == truth and 15 < len(truth) < 40
 
 
+def test_a_word_more_or_less_near_the_end_of_the_stretch():
+    words = L.WORD.findall(item(9, 41))
+    texts = [
+        " ".join([*words[:5], "other", *words[6:12], "added", *words[12:16]]),
+        " ".join([*words[25:29], "added", *words[29:35], "other", *words[36:41]]),
+        " ".join([*words[:5], "other", *words[6:12], *words[13:17]]),
+        " ".join([*words[:5], "other", *words[6:12], "added", "twice", *words[12:16]]),
+    ]
+    text = " ".join(words)
+    truth = [k for k, t in enumerate(texts) if brute(t, text)]
+    assert truth == [0, 1, 2]
+    assert L.Index([(1, text)]).scan(["x y " + t + " z" for t in texts])[0].tolist() == truth
+
+
 def test_same_pattern_with_other_words_is_no_case():
     text = "Suppose Hollor labels 479 amber beads with gimyarumb signs, then hides 840 behind a mirror. How many tokens stay?"
     other = "Suppose Fenquo labels 31 violet kites with sulpel signs, then hides 12 behind the shelf. How many marbles stay?"
