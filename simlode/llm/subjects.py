@@ -44,8 +44,8 @@ from simlode.session import settle
 BUCKETS = 1 << 17
 RATIO = 3.5
 ROUNDS, INNER = 5, 5
-#: Less than this share of a document's subject words is a passing mention.
-SUBSTANTIAL = 0.15
+#: Less than this share of a document's subject words is a passing mention, unless it is at least ``EVEN`` times that of the document's largest subject.
+SUBSTANTIAL, EVEN = 0.15, 0.5
 CALIBRATION_ROWS = 50_000
 MAX_SUBJECTS = 256
 NONE = "none"
@@ -394,7 +394,7 @@ class SubjectClassifier:
                 model, calibration = shared.value
                 mass = model.expect(*_lists(batch))[3]
                 own = mass[:, :k]
-                part = own >= SUBSTANTIAL * own.sum(1, keepdims=True)
+                part = (own >= SUBSTANTIAL * own.sum(1, keepdims=True)) | (own >= EVEN * own.max(1, keepdims=True, initial=0))
                 row, col = np.nonzero((calibration.posterior(features(mass, k)) >= 0.5) & part & (own >= LEAST))
                 yield pa.RecordBatch.from_arrays([batch.column("d").take(pa.array(row)), pa.array(names[col], pa.string())], names=["d", "s"])
 

@@ -98,3 +98,18 @@ def test_body_leaves_out_nothing_but_licence_text():
     wrapped = "/* Copyright (c) 2020 X\n * Permission is hereby granted, free of charge, to any person\n * obtaining a copy of this work.\n */\n"
     assert S.body(wrapped + "// Tunes the violin.\nint x;") == "// Tunes the violin.\nint x;"
     assert S.body("# Sorts by level, then by liability.\n# like a covenant\nx = 1") == "# Sorts by level, then by liability.\n# like a covenant\nx = 1"
+
+
+def test_an_even_mixture_of_many_subjects_keeps_them(spark):
+    r = random.Random(2)
+    topics = {f"area{a}": [f"{a * 5}{x}word" for x in "bcdfgh"] for a in "klmnprst"}
+    line = lambda s: " ".join(r.choices(topics[s], k=6))
+    docs = [(i, " ".join([*(line(s) for _ in range(4)), *r.choices(NEUTRAL, k=30)]), "t", 0) for i, s in enumerate([*topics] * 30)]
+    labels = [(i, s, 1) for i, s in enumerate([*topics] * 30) if i % 2]
+    labels += [(i, s, 1) for i, s in enumerate([*topics] * 4)]
+    docs.append((9999, " ".join(line(s) for s in topics for _ in range(8)), "t", 0))
+    docs.append((9998, " ".join([*(line("areak") for _ in range(20)), *topics["areal"][:2]]), "t", 0))
+    d, y, _ = tables(spark, docs, labels)
+    got = S.subject_areas(d, y, spark.createDataFrame([(s,) for s in topics], "subject string")).collect()
+    assert {x.subject for x in got if x.doc_id == 9999} == set(topics)
+    assert {x.subject for x in got if x.doc_id == 9998} == {"areak"}
