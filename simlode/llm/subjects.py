@@ -1,8 +1,9 @@
 """Subject areas of each document: none, one or several.
 
-Complement naive Bayes over the words of names, strings and comments, refined by
-expectation-maximization over the unlabelled documents, with one calibrated
-posterior for each subject, independent of the others.
+A mixture of subjects over the words of names, strings and comments, of which the
+complement (as in complement naive Bayes) decides which speak for a subject, refined
+by expectation-maximization over the unlabelled documents, with one calibrated
+posterior for each subject.
 
 * Features are words (identifiers taken apart), hashed into ``BUCKETS`` numbers,
   so the model has one size whatever the corpus. Licence text in the leading
