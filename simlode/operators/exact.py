@@ -76,6 +76,12 @@ def topk_batch(collection: DataFrame, queries: DataFrame, k: int = 5, id_col: st
     against each Arrow batch, of which k rows a query go on; nothing is shuffled
     but those. More queries meet the rows in a grid of blocks of bounded size.
     """
+    ranked = _ranked(collection, queries, k, id_col, vector_col, query_col, query_vector, space, dimension)
+    return ranked.select(F.col("q").alias(query_col), "rank", F.col("n").alias(id_col), F.round("s", PLACES).alias("score"))
+
+
+def _ranked(collection: DataFrame, queries: DataFrame, k: int, id_col: str, vector_col: str, query_col: str, query_vector: str, space: str, dimension: int) -> DataFrame:
+    """``q, n, s, rank`` with unrounded scores."""
     check_k(k)
     check_space(space)
     q = queries.where(F.col(query_vector).isNotNull()).select(F.col(query_col).alias("q"), V.floats(F.col(query_vector)).alias("v"))
@@ -99,8 +105,7 @@ def topk_batch(collection: DataFrame, queries: DataFrame, k: int = 5, id_col: st
     else:
         near = _grid(q, rows, k, space, dimension, schema)
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "n"))
-    ranked = near.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k)
-    return ranked.select(F.col("q").alias(query_col), "rank", F.col("n").alias(id_col), F.round("s", PLACES).alias("score"))
+    return near.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k)
 
 
 def _grid(q: DataFrame, rows: DataFrame, k: int, space: str, dimension: int, schema: str) -> DataFrame:
@@ -138,3 +143,16 @@ def scatter_gather(collection: DataFrame, shard: Column, query: Sequence[float],
     gathered = scored.withColumn("_r", local).where(F.col("_r") <= k).orderBy(F.desc("_score"), F.asc(id_col)).limit(k)
     rank = F.row_number().over(Window.orderBy(F.desc("_score"), F.asc(id_col))).cast("int")
     return gathered.select(rank.alias("rank"), "shard", id_col, F.round("_score", PLACES).alias("score"))
+
+
+def scatter_gather_batch(collection: DataFrame, shard: str, queries: DataFrame, k: int = 5, id_col: str = "id", vector_col: str = "vector", query_col: str = "query_id", query_vector: str = "vector", space: str = "cosine", dimension: int = 64) -> DataFrame:
+    """``query_id, rank, shard, id, score``: for each of many queries each shard's own k best, then the k best of those.
+
+    ``shard`` names a column of few values; each shard is searched by itself.
+    """
+    search = lambda rows, s: _ranked(rows, queries, k, id_col, vector_col, query_col, query_vector, space, dimension).withColumn("shard", s)
+    out = search(collection.limit(0), F.lit(None).cast(collection.schema[shard].dataType))
+    for (s,) in sorted(map(tuple, collection.where(F.col(shard).isNotNull()).select(shard).distinct().collect())):
+        out = out.unionByName(search(collection.where(F.col(shard) == F.lit(s)), F.lit(s).cast(collection.schema[shard].dataType)))
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "n"))
+    return out.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select(F.col("q").alias(query_col), "rank", "shard", F.col("n").alias(id_col), F.round("s", PLACES).alias("score"))

@@ -99,6 +99,16 @@ def topk_filtered_by_metadata(spark, sf):
     return exact.topk(r.select(F.col("request_no").alias("id"), "vector", "metadata"), q, K, where=F.get_json_object("metadata", "$.source") == "crawl")
 
 
+def topk_filtered_by_label_batch(spark, sf):
+    e = _vectors(spark, sf)
+    return exact.topk_batch(e.where("label = 3"), _queries(e), K, dimension=DIM)
+
+
+def topk_filtered_by_metadata_batch(spark, sf):
+    r = table(spark, sf, "insert_requests").where(V.is_sound(F.col("vector"), DIM)).where(F.get_json_object("metadata", "$.source") == "crawl")
+    return exact.topk_batch(r.select(F.col("request_no").alias("id"), "vector"), _queries(_vectors(spark, sf)), K, dimension=DIM)
+
+
 def exact_topk_batch(spark, sf):
     e = _vectors(spark, sf)
     return exact.topk_batch(e, _queries(e), K, dimension=DIM)
@@ -138,14 +148,18 @@ def scatter_gather_topk(spark, sf):
     return exact.scatter_gather(sharded, F.col("node"), _first(e), K)
 
 
+def scatter_gather_batch(spark, sf):
+    e = _vectors(spark, sf).withColumn("key", F.concat(F.lit("vec_"), F.col("id").cast("string")))
+    return exact.scatter_gather_batch(HashRing(SHARDS).assign(e, "key"), "node", _queries(e), K, dimension=DIM)
+
+
 def scatter_gather_recall(spark, sf):
     """Recall of per-shard search against global search for 1, 2 and 4 shards."""
     e = _vectors(spark, sf).withColumn("key", F.concat(F.lit("vec_"), F.col("id").cast("string")))
-    q, out = _first(e), None
-    truth = exact.topk(e, q, K).withColumn("query_id", F.lit(0))
+    out = None
+    truth = exact.topk_batch(e, _queries(e), K, dimension=DIM)
     for n in (1, 2, 4):
-        sharded = HashRing(SHARDS[:n]).assign(e, "key")
-        got = exact.scatter_gather(sharded, F.col("node"), q, K).withColumn("query_id", F.lit(0))
+        got = exact.scatter_gather_batch(HashRing(SHARDS[:n]).assign(e, "key"), "node", _queries(e), K, dimension=DIM)
         row = evaluate.recall_at_k(truth, got, K).select(F.lit(n).alias("shards"), "recall")
         out = row if out is None else out.unionByName(row)
     return out
@@ -235,6 +249,11 @@ def pq_adc_search(spark, sf):
     return pq.adc_search(pq.encode(e, b, ["id"]), b, _first(e), K)
 
 
+def pq_adc_search_batch(spark, sf):
+    e, b = _book(spark, sf)
+    return pq.adc_search_batch(pq.encode(e, b, ["id"]), b, _queries(e), K)
+
+
 def pq_error(spark, sf):
     e, b = _book(spark, sf)
     return pq.errors(e, pq.decode(pq.encode(e, b, ["id"]), b, ["id"]), "id", "vector")
@@ -298,6 +317,7 @@ QUERIES = {
     "topk_space_l2": _space("l2"), "topk_space_ip": _space("ip"), "scatter_gather_topk": scatter_gather_topk, "scatter_gather_recall": scatter_gather_recall,
     "centroids_by_label": centroids_by_label, "lloyd_step": lloyd_step, "ivf_assign": ivf_assign, "ivf_cell_sizes": ivf_cell_sizes, "ivf_probe": ivf_probe,
     "ivf_search_nprobe1": _ivf_search(1), "ivf_search_nprobe4": _ivf_search(4), "ivf_search_all": _ivf_search(1000), "ivf_search_single": ivf_search_single, "recall_ivf": recall_ivf,
+    "scatter_gather_batch": scatter_gather_batch, "topk_filtered_by_label_batch": topk_filtered_by_label_batch, "topk_filtered_by_metadata_batch": topk_filtered_by_metadata_batch, "pq_adc_search_batch": pq_adc_search_batch,
     "ivf_search_trained": ivf_search_trained, "recall_ivf_trained": recall_ivf_trained, "pq_search_trained": pq_search_trained, "recall_pq_trained": recall_pq_trained,
     "pq_encode": pq_encode, "pq_decode": pq_decode, "pq_search": pq_search, "pq_adc_search": pq_adc_search, "pq_error": pq_error, "pq_compression": pq_compression, "recall_pq": recall_pq,
     "kmeans_train": kmeans_train, "pq_train": pq_train, "hnsw_search": hnsw_search,

@@ -96,6 +96,20 @@ def test_scatter_gather_is_global(spark):
     assert [(x["rank"], x.id) for x in got] == want
 
 
+def test_batch_forms_answer_every_query(spark):
+    sf = "/root/testdata/sf0.01"
+    every = lambda name: {(r.query_id, r["rank"]): r.id for r in search.QUERIES[name](spark, sf).collect()}
+    got, want = every("scatter_gather_batch"), every("exact_topk_batch")
+    assert got == want and len(want) == 250
+    for name in ("topk_filtered_by_label", "pq_adc_search"):
+        one = {r["rank"]: r.id for r in search.QUERIES[name](spark, sf).collect()}
+        batch = every(name + "_batch")
+        first = min(q for q, _ in batch)
+        assert len({q for q, _ in batch}) == 25 and {n: i for (q, n), i in batch.items() if q == first} == one
+    assert len({q for q, _ in every("topk_filtered_by_metadata_batch")}) == 25
+    assert [tuple(r) for r in search.QUERIES["scatter_gather_recall"](spark, sf).orderBy("shards").collect()] == [(1, 1.0), (2, 1.0), (4, 1.0)]
+
+
 def test_ivf_axes(spark):
     data = rows(spark, [(i, [x * 1.01 for x in v]) for i, v in AXES])
     c = ivf.Centroids([0, 1, 2, 3], np.array([v for _, v in AXES]))
