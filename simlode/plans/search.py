@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from simlode.functions import vector as V
 from simlode.operators import evaluate, exact, hnsw, ivf, pq
 from simlode.operators.ring import HashRing
-from simlode.session import spread, table
+from simlode.session import settle, spread, table
 
 K, DIM = 10, 64
 M, CODES = 8, 16
@@ -305,10 +305,15 @@ def pq_train(spark, sf):
 
 def hnsw_search(spark, sf):
     e = _vectors(spark, sf)
-    index = hnsw.build(e, DIM, max_elements=256, M=16, ef_construction=64)
+    index = settle(hnsw.build(e, DIM), "hnsw")
     return hnsw.search_batch(index, _queries(e), K, 50)
 
 
+def recall_hnsw(spark, sf):
+    e = _vectors(spark, sf)
+    return evaluate.recall_at_k(exact.topk_batch(e, _queries(e), K, dimension=DIM), hnsw_search(spark, sf), K)
+
+
 QUERIES = {
     "cosine_pairs": cosine_pairs, "l2_norms": l2_norms, "l2_distance_pairs": l2_distance_pairs, "dot_pairs": dot_pairs,
     "normalize_vectors": normalize_vectors, "zero_norm_cosine": zero_norm_cosine, "subvector_norms": subvector_norms,
@@ -320,7 +325,7 @@ QUERIES = {
     "scatter_gather_batch": scatter_gather_batch, "topk_filtered_by_label_batch": topk_filtered_by_label_batch, "topk_filtered_by_metadata_batch": topk_filtered_by_metadata_batch, "pq_adc_search_batch": pq_adc_search_batch,
     "ivf_search_trained": ivf_search_trained, "recall_ivf_trained": recall_ivf_trained, "pq_search_trained": pq_search_trained, "recall_pq_trained": recall_pq_trained,
     "pq_encode": pq_encode, "pq_decode": pq_decode, "pq_search": pq_search, "pq_adc_search": pq_adc_search, "pq_error": pq_error, "pq_compression": pq_compression, "recall_pq": recall_pq,
-    "kmeans_train": kmeans_train, "pq_train": pq_train, "hnsw_search": hnsw_search,
+    "kmeans_train": kmeans_train, "pq_train": pq_train, "hnsw_search": hnsw_search, "recall_hnsw": recall_hnsw,
 }
 
 _COS = """CASE WHEN list_dot_product({0}, {0}) = 0 OR list_dot_product({1}, {1}) = 0 THEN 0.0

@@ -186,7 +186,7 @@ def test_adc_batch_equals_single_and_rerank_is_exact(spark, monkeypatch):
     assert pq.adc_search_batch(codes, book, asked.limit(0), 5).collect() == [] and pq.adc_search_batch(codes.limit(0), book, asked, 5).collect() == []
 
 
-@pytest.mark.parametrize("name", ["recall_ivf_trained", "recall_pq_trained"])
+@pytest.mark.parametrize("name", ["recall_ivf_trained", "recall_pq_trained", "recall_hnsw"])
 def test_registered_indexes_reach_the_recall(spark, name):
     got = search.QUERIES[name](spark, "/root/testdata/sf0.01").first()
     assert got.queries == 25 and got.recall >= 0.9
