@@ -117,13 +117,45 @@ def test_neighbours_of_nothing(spark, empty):
     assert N.most_similar(table(spark, rows), requests(spark, asked)).collect() == []
 
 
-def test_recall_by_block_search():
-    r = np.random.default_rng(2)
-    centres = r.standard_normal((300, DIM))
-    rows = np.repeat(centres / np.linalg.norm(centres, axis=1, keepdims=True), 20, axis=0) + 0.045 * r.standard_normal((6000, DIM))
-    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
-    queries = rows[::20]
-    q, x, _ = N.nearest(queries, np.full(len(queries), 20), rows, np.arange(len(rows)))
-    c = queries @ rows.T
-    truth = {(i, j) for i in range(len(queries)) for j in np.lexsort((np.arange(len(rows)), -np.round(c[i], 6)))[:20] if c[i, j] >= N.FLOOR}
-    assert len(set(zip(q.tolist(), x.tolist())) & truth) >= 0.99 * len(truth)
+def crowd(seed=2, groups=60, each=20):
+    r = np.random.default_rng(seed)
+    centres = r.standard_normal((groups, DIM))
+    rows = np.repeat(centres / np.linalg.norm(centres, axis=1, keepdims=True), each, axis=0) + 0.045 * r.standard_normal((groups * each, DIM))
+    return [(i, [float(np.float32(x)) for x in v]) for i, v in enumerate(rows)]
+
+
+def pairs(df):
+    return {(r.query_id, r.request_no) for r in df.collect()}
+
+
+def test_neighbours_in_split_keys_and_exactly(spark):
+    rows = crowd() + [(10_000 + i, [1.0] + [0.0] * 63) for i in range(300)]
+    asked = [(f"q{i}", v, 20) for i, v in rows[::20]]
+    truth = true_neighbours(rows, asked)
+    t, a = table(spark, rows), requests(spark, asked)
+    assert pairs(N.most_similar(t, a, exact=True)) == truth
+    whole = pairs(N.most_similar(t, a))
+    assert whole <= truth and len(whole) >= 0.99 * len(truth)
+    assert pairs(N.most_similar(t, a, row_block=50, query_block=7)) == whole
+
+
+def test_windows_hold_little_and_miss_little():
+    r = np.random.default_rng(5)
+    x = r.standard_normal((4000, DIM))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = r.standard_normal((4000, DIM))
+    y -= (x * y).sum(1, keepdims=True) * x
+    y = N.FLOOR * x + np.sqrt(1 - N.FLOOR**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    inside = lambda q, v: (N.windows(q) == N.keys(v)[:, :, None]).any((1, 2))
+    assert inside(x, y).mean() >= 0.99  # at the very floor
+    assert inside(x, np.roll(x, 1, axis=0)).mean() <= 0.02
+
+
+@pytest.mark.parametrize("dimension", [1, 2, 3, 8, 100])
+def test_neighbours_of_other_dimensions(spark, dimension):
+    r = np.random.default_rng(dimension)
+    rows = [(i, [float(np.float32(x)) for x in r.standard_normal(dimension)]) for i in range(200)]
+    asked = [(f"q{i}", [x * 3 for x in rows[i][1]], 8) for i in range(0, 200, 5)]
+    got = pairs(N.most_similar(table(spark, rows), requests(spark, asked), dimension=dimension))
+    truth = true_neighbours(rows, asked)
+    assert len(got & truth) >= 0.97 * len(truth) and len(got) <= len(truth)
