@@ -34,6 +34,11 @@ def p4_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return membership.audit(requests, "id", flagged, membership.confirmed(requests, stored, flagged, "request_no", "id"))
 
 
+def p4_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records asked, those rightly taken for seen, and whether fewer than one in 500 are wrongly so."""
+    return p4_audit(spark, sf_dir).selectExpr("asked", "flagged - wrong AS right", "wrong_rate < 0.002 AS rarely_wrong")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most similar stored vectors of each search request."""
     return neighbours.most_similar(table(spark, sf_dir, "insert_requests"), table(spark, sf_dir, "search_requests")).select("query_id", "request_no")
@@ -59,7 +64,7 @@ def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_found(spark, sf_dir).groupBy("subject").count()
 
 
-QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p4_found": p4_found, "p4_audit": p4_audit, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_mix": p8_mix}
+QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p4_found": p4_found, "p4_audit": p4_audit, "p4_bounds": p4_bounds, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_mix": p8_mix}
 
 # Vectors that count, as unit vectors; the filter comes before the norm, which must not meet a wrong size.
 _SOUND = """
@@ -80,6 +85,11 @@ SQL = {
         SELECT r.request_no FROM insert_requests r JOIN f USING (id)
         WHERE r.id <> '' AND (f.first < r.request_no OR r.id IN (SELECT id FROM stored_ids WHERE id IS NOT NULL))
     """,
+    "p4_bounds": """
+        WITH f AS (SELECT id, min(request_no) AS first FROM insert_requests GROUP BY id)
+        SELECT count(*) AS asked, count(*) FILTER (f.first < r.request_no OR r.id IN (SELECT id FROM stored_ids WHERE id IS NOT NULL)) AS "right", TRUE AS rarely_wrong
+        FROM insert_requests r JOIN f USING (id) WHERE r.id <> ''
+    """,
     "p5_found": _SOUND + """
         , q AS (SELECT query_id, min(coalesce(top_k, 5)) AS k, min(vector::DOUBLE[]) AS w FROM search_requests
                 WHERE coalesce(top_k, 5) >= 1 AND len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY query_id),

@@ -4,6 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from simlode.llm import membership as M
+from simlode.session import settle
 
 SCHEMA = "request_no long, id string, n string, h string, k string"
 STORED = "id string, part int, first int"
@@ -76,3 +77,66 @@ def test_filter_grows_and_rarely_errs():
 
 def test_remove_of_absent_key():
     assert not M.CuckooFilter().remove(12)
+
+
+def test_removal_loses_no_other_key():
+    rng = np.random.default_rng(3)
+    keys = rng.permutation(np.unique(rng.integers(-(2**63), 2**63 - 1, 200_000, dtype=np.int64)))
+    f = M.CuckooFilter(2000)
+    known = np.zeros(len(keys), bool)
+    for at in range(0, len(keys), 10_000):
+        part = slice(at, at + 10_000)
+        known[part] = M.answer_part(keys[part], np.arange(len(keys))[part], f)
+    f.add(keys[known])  # wrongly taken for seen
+    assert known.sum() > 10 and f.contains(keys).all() and len(f) == len(keys)
+    gone = keys[rng.permutation(len(keys))[:20_000]]
+    for h in gone.tolist():
+        assert f.remove(h)
+    left = keys[~np.isin(keys, gone)]
+    assert f.contains(left).all() and len(f) == len(left) and f.contains(gone).mean() < 0.01
+    assert len(f.dropped) and len(f.dropped) < 0.01 * len(gone)
+    again = M.CuckooFilter.unpacked(f.packed())
+    assert again.contains(left).all() and len(again) == len(left)
+    again.add(gone)
+    assert again.contains(keys).all() and len(again) == len(keys)
+
+
+def test_kept_tables(spark, tmp_path):
+    frame = lambda rows: spark.createDataFrame([(i, k, "x", "y", "z") for i, k in rows], SCHEMA)
+    numbers = lambda df: {r.n for r in df.collect()}
+    store = M.KeyTables(spark, f"{tmp_path}/keys", parts=3)
+    store.add(spark.createDataFrame([("a",), ("a",), ("b",), (None,), ("",)], "id string"), "id")
+    first = frame([(1, "a"), (2, "c"), (3, "c"), (4, None), (None, "a")] + [(i, f"k{i}") for i in range(10, 300)])
+    assert numbers(store.seen(first, "request_no", "id")) == {1, 3}
+    # Another session of the same store; it reads no earlier key.
+    store = M.KeyTables(spark, f"{tmp_path}/keys")
+    assert store.parts == 3 and store.manifest()["version"] == 2
+    second = frame([(1001, "c"), (1002, "d"), (1003, "k10"), (1004, "k9999"), (1005, "b")])
+    assert numbers(store.seen(second, "request_no", "id")) == {1001, 1003, 1005}
+    store.remove(spark.createDataFrame([("c",), ("c",), ("k10",), ("never",)], "id string"), "id")
+    third = frame([(2001, "c"), (2002, "k10"), (2003, "k11"), (2004, "d"), (2005, "a")])
+    assert numbers(store.seen(third, "request_no", "id")) == {2003, 2004, 2005}
+    one = M.KeyTables(spark, f"{tmp_path}/keys").manifest()
+    store.add(spark.createDataFrame([("one more",)], "id string"), "id")
+    assert sum(one["files"][p] != f for p, f in store.manifest()["files"].items()) == 1  # only the touched partition
+
+
+def test_wrong_answers_are_absorbed_and_can_be_removed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(M.CuckooFilter, "parts", staticmethod(lambda h: ((np.asarray(h, np.int64) & 0xFF).astype(np.int64), (np.abs(np.asarray(h, np.int64) >> 48) % 31 + 1).astype(np.uint16))))
+    rng = np.random.default_rng(1)
+    hashes = rng.integers(-(2**63), 2**63 - 1, 3000, dtype=np.int64)
+    f = M.CuckooFilter(100)
+    wrong = M.answer_part(hashes, np.arange(3000), f, step=200)
+    f.add(hashes[wrong])
+    for h in hashes[::3].tolist():
+        f.remove(h)
+    left = np.delete(hashes, np.s_[::3])
+    assert wrong.sum() > 100 and f.contains(left).all()
+    rows = spark.createDataFrame([(i, f"k{i}", "x", "y", "z") for i in range(500)], SCHEMA)
+    store = M.KeyTables(spark, f"{tmp_path}/keys", parts=2)
+    flagged = settle(store.seen(rows, "request_no", "id"))
+    checked = M.confirmed(rows, spark.createDataFrame([], STORED), flagged.unionByName(spark.createDataFrame([(7,), (8,)], "n long")), "request_no", "id")
+    assert {r.n for r in checked.where("NOT right").collect()} >= {7, 8}
+    before = store.manifest()["version"]
+    store.absorb(rows, "request_no", "id", checked)
+    assert store.manifest()["version"] == before + 1
