@@ -39,7 +39,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from simlode.llm.vectors import matrix, sound, unit
@@ -50,6 +50,8 @@ FLOOR, DEFAULT_K, PLACES = 0.85, 5, 6
 ROW_BLOCK, QUERY_BLOCK = 1 << 18, 1 << 15
 #: Rows whose keys show which are to be split.
 SAMPLE = 1 << 16
+#: Query components (queries times dimension) that are broadcast for verification; more are joined.
+BROADCAST_COMPONENTS = 1 << 21
 #: Of the exact grid.
 GRID_QUERIES, GRID_ROWS = 4096, 1 << 16
 _ENTRIES, _PAIRS = 1 << 16, 1 << 17
@@ -290,16 +292,46 @@ def asked(requests: DataFrame, query: str, vector: str, top_k: str, dimension: i
     return sound(rows, F.col("v"), dimension).groupBy("q").agg(F.min(F.struct("v", "k")).alias("x")).select("q", "x.k", "x.v")
 
 
-def _cosines(pairs: DataFrame, dimension: int, floor: float) -> DataFrame:
-    """``q, k, n, cosine`` of ``q, k, n, v, u`` at the floor or above, exact."""
+def _best(q: np.ndarray, k: np.ndarray, n: np.ndarray, cos: np.ndarray) -> np.ndarray:
+    """Positions of each query's k best."""
+    order = np.lexsort((n, -cos, q))
+    q = q[order]
+    return order[np.arange(len(q)) - np.searchsorted(q, q) < k[order]]
+
+
+def _verified(pairs: DataFrame, queries: DataFrame, dimension: int, floor: float) -> DataFrame:
+    """``q, k, n, cosine`` of ``i, n, u`` at the floor or above: exact, and of each batch a query's k best.
+
+    Up to ``BROADCAST_COMPONENTS`` query components are broadcast, more are joined.
+    """
+    asked = queries.withColumn("i", F.xxhash64("q"))
+    limit = max(1, BROADCAST_COMPONENTS // dimension)
+    some = asked.limit(limit + 1).toArrow().combine_chunks().sort_by("i")
+    held = some.num_rows <= limit
+    shared = pairs.sparkSession.sparkContext.broadcast(some if held else None)
+
+    def cosines(u: pa.Array, v: np.ndarray, q: pa.Array, k: np.ndarray, n: np.ndarray, group: np.ndarray) -> pa.RecordBatch:
+        cos = (unit(matrix(u, dimension)) * v).sum(1)
+        at = np.flatnonzero(cos >= floor)
+        cos = np.round(cos, PLACES)
+        at = at[_best(group[at], k[at], n[at], cos[at])]
+        return pa.RecordBatch.from_arrays([q.take(pa.array(at)), pa.array(k[at]), pa.array(n[at]), pa.array(cos[at])], names=["q", "k", "n", "cosine"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if held:
+            own = shared.value
+            i, v, ks = own.column("i").to_numpy(), unit(matrix(own.column("v"), dimension)), own.column("k").to_numpy()
+            names = pa.concat_arrays(own.column("q").chunks) if own.num_rows else pa.array([], pa.string())
         for batch in batches:
-            cos = (unit(matrix(batch.column("v"), dimension)) * unit(matrix(batch.column("u"), dimension))).sum(1)
-            at = pa.array(np.flatnonzero(cos >= floor))
-            yield pa.RecordBatch.from_arrays([*(batch.column(x).take(at) for x in ("q", "k", "n")), pa.array(np.round(cos, PLACES)).take(at)], names=["q", "k", "n", "cosine"])
+            group, n = batch.column("i").to_numpy(), batch.column("n").to_numpy()
+            if held:
+                at = np.searchsorted(i, group)
+                yield cosines(batch.column("u"), v[at], names.take(pa.array(at)), ks[at], n, group)
+            else:
+                yield cosines(batch.column("u"), unit(matrix(batch.column("v"), dimension)), batch.column("q"), batch.column("k").to_numpy(), n, group)
 
-    return pairs.select("q", "k", "n", "v", "u").mapInArrow(run, "q string, k long, n long, cosine double")
+    wanted = pairs.select("i", "n", "u") if held else pairs.join(asked, "i").select("i", "n", "u", "q", "k", "v")
+    return wanted.mapInArrow(run, "q string, k long, n long, cosine double")
 
 
 def _all_pairs(rows: DataFrame, queries: DataFrame, dimension: int, floor: float) -> DataFrame:
@@ -322,9 +354,7 @@ def _all_pairs(rows: DataFrame, queries: DataFrame, dimension: int, floor: float
             a = a + at
             cos = (v[own[a]] * v[others[b]]).sum(1)
             a, b, cos = a[cos >= floor], b[cos >= floor], np.round(cos[cos >= floor], PLACES)
-            order = np.lexsort((n[b], -cos, a))
-            a, b, cos = a[order], b[order], cos[order]
-            some = np.arange(len(a)) - np.searchsorted(a, a) < k[a]
+            some = _best(a, k[a], n[b], cos)
             parts.append((a[some], n[b[some]], cos[some]))
         a, found, cos = (np.concatenate(z) for z in zip(*parts))
         return pa.table({"q": table.column("q").take(pa.array(own[a])), "k": pa.array(k[a].astype(np.int64)), "n": pa.array(found), "cosine": pa.array(cos)})
@@ -343,7 +373,7 @@ def most_similar(
     if exact:
         near = _all_pairs(rows, queries, dimension, floor)
     else:
-        # A query travels under a hash of its id; were two alike, each would be verified against what either found.
+        # A query travels under the 64-bit hash of its id.
         asking = queries.select(F.xxhash64("q").alias("n"), "k", "v")
         layout = spark.sparkContext.broadcast(_layout(rows, asking, dimension, row_block, query_block))
         entries = _entries(rows.select("n", F.lit(0).alias("k"), "v"), dimension, False, layout).unionByName(_entries(asking, dimension, True, layout))
@@ -352,8 +382,7 @@ def most_similar(
         tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-much // (64 << 20)))
         met = entries.repartition(tasks, F.shiftright("w", 1)).sortWithinPartitions("w")
         counted = _collisions(met, dimension, floor).groupBy("i", "n").agg(F.count(F.lit(1)).alias("collisions")).where(F.col("collisions") >= THRESHOLD)
-        pairs = counted.join(rows.withColumnRenamed("v", "u"), "n").join(queries.withColumn("i", F.xxhash64("q")), "i")
-        near = _cosines(pairs, dimension, floor)
+        near = _verified(counted.join(rows.withColumnRenamed("v", "u"), "n"), queries, dimension, floor)
     order = Window.partitionBy("q").orderBy(F.desc("cosine"), "n")
     ranked = near.withColumn("place", F.row_number().over(order)).where("place <= k")
     return ranked.select(F.col("q").alias(query), F.col("n").alias(number), "cosine", "place")

@@ -128,7 +128,7 @@ def pairs(df):
     return {(r.query_id, r.request_no) for r in df.collect()}
 
 
-def test_neighbours_in_split_keys_and_exactly(spark):
+def test_neighbours_in_split_keys_and_exactly(spark, monkeypatch):
     rows = crowd() + [(10_000 + i, [1.0] + [0.0] * 63) for i in range(300)]
     asked = [(f"q{i}", v, 20) for i, v in rows[::20]]
     truth = true_neighbours(rows, asked)
@@ -137,6 +137,8 @@ def test_neighbours_in_split_keys_and_exactly(spark):
     whole = pairs(N.most_similar(t, a))
     assert whole <= truth and len(whole) >= 0.99 * len(truth)
     assert pairs(N.most_similar(t, a, row_block=50, query_block=7)) == whole
+    monkeypatch.setattr(N, "BROADCAST_COMPONENTS", DIM * 10)
+    assert pairs(N.most_similar(t, a)) == whole
 
 
 def test_windows_hold_little_and_miss_little():
