@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from simlode.llm import clusters, leaks, membership, neighbours, subjects, tokens
 from simlode.session import settle, spread, table
@@ -19,6 +20,11 @@ def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.described(clusters.clustered(table(spark, sf_dir, "insert_requests")))
 
 
+def p1_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters and described members by size of the cluster."""
+    return p1_clusters(spark, sf_dir).groupBy("size").agg(F.count(F.lit(1)).alias("clusters"), F.sum(F.size("typical")).alias("typical"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests whose id is stored or came in an earlier request."""
     requests, stored = table(spark, sf_dir, "insert_requests"), table(spark, sf_dir, "stored_ids")
@@ -64,7 +70,7 @@ def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_found(spark, sf_dir).groupBy("subject").count()
 
 
-QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p4_found": p4_found, "p4_audit": p4_audit, "p4_bounds": p4_bounds, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_mix": p8_mix}
+QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p1_sizes": p1_sizes, "p4_found": p4_found, "p4_audit": p4_audit, "p4_bounds": p4_bounds, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_mix": p8_mix}
 
 # Vectors that count, as unit vectors; the filter comes before the norm, which must not meet a wrong size.
 _SOUND = """
@@ -73,13 +79,15 @@ _SOUND = """
     u AS (SELECT request_no, v FROM f WHERE list_dot_product(v, v) > 0)
 """
 
-SQL = {
-    "p1_found": _SOUND + """
+_CLUSTERS = _SOUND + """
         , p AS (SELECT a.request_no AS x, b.request_no AS y FROM u a JOIN u b ON list_cosine_similarity(a.v, b.v) >= 0.85 OR a.request_no = b.request_no),
         n AS (SELECT x, list(y ORDER BY y) AS ys FROM p GROUP BY x HAVING count(*) >= 5),
         c AS (SELECT ys FROM n GROUP BY ys HAVING count(*) = len(ys))
-        SELECT ys[1] AS first_no, x AS member_no FROM n JOIN c USING (ys) WHERE x <> ys[1]
-    """,
+"""
+
+SQL = {
+    "p1_found": _CLUSTERS + " SELECT ys[1] AS first_no, x AS member_no FROM n JOIN c USING (ys) WHERE x <> ys[1]",
+    "p1_sizes": _CLUSTERS + " SELECT len(ys) AS size, count(*) AS clusters, 3 * count(*) AS typical FROM c GROUP BY len(ys)",
     "p4_found": """
         WITH f AS (SELECT id, min(request_no) AS first FROM insert_requests GROUP BY id)
         SELECT r.request_no FROM insert_requests r JOIN f USING (id)

@@ -43,10 +43,9 @@ def true_clusters(rows):
     return {(rows[min(s)][0], rows[i][0]) for i, s in enumerate(sets) if len(s) >= C.SMALLEST and all(sets[j] == s for j in s)}
 
 
-def test_clusters_match_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(C, "COMPONENTS", (2, 4, 8))
+def test_clusters_match_brute_force(spark):
     rows = data()
-    got = C.clustered(table(spark, rows + BAD)).collect()
+    got = C.clustered(table(spark, rows + BAD), components=(2, 4, 8)).collect()
     truth = true_clusters(rows)
     assert {(r.first_no, r.member_no) for r in got} == truth and len(got) == len(truth)
     shown = {r.first_no: r for r in C.described(C.clustered(table(spark, rows))).collect()}
@@ -56,10 +55,17 @@ def test_clusters_match_brute_force(spark, monkeypatch):
 
 
 def test_clusters_in_small_blocks(spark, monkeypatch):
-    monkeypatch.setattr(C, "COMPONENTS", (2,))
     monkeypatch.setattr(C, "BLOCK", 40)
+    monkeypatch.setattr(C, "HOT_RECORDS", 3)
     rows = data(3)
-    assert {(r.first_no, r.member_no) for r in C.clustered(table(spark, rows)).collect()} == true_clusters(rows)
+    t = table(spark, rows)
+    assert {(r.first_no, r.member_no) for r in C.clustered(t, components=(2,)).collect()} == true_clusters(rows)
+    assert {(r.first_no, r.member_no) for r in C.clustered(t, exact=True).collect()} == true_clusters(rows)
+
+
+def test_numbers_of_components():
+    assert C.numbers_of_components(0) == (4, 8, 16) and C.numbers_of_components(88_000) == (128, 256, 512)
+    assert C.numbers_of_components(10**9)[-1] == C.MOST_COMPONENTS
 
 
 def test_chain_is_no_cluster(spark):
