@@ -7,12 +7,23 @@ letters and digits, compared without case.
 
 Method: template windows. Items are read for slots: numbers, names (words with
 a capital inside a sentence) and units (words right after a number). Every word
-of items and documents is replaced by its type if it can fill a slot, and
-windows of such template words are hashed. Equal windows bring an item and a
-place of a document together, whatever stands in the slots. Then the slots are
-checked: the words at both places are compared, slots included, so a
-re-parameterised question, whose slots hold other values throughout, is told
-from a copy with a few changes.
+of items and documents is replaced by its type if it can fill a slot (a word of
+a document that no item has is a number, a name if it has a capital, or no
+template word), and windows of such template words are hashed; a window of slots
+alone is hashed by its words. Equal windows bring an item and a place of a
+document together, whatever stands in the slots. Then the slots are checked:
+
+* the words at both places are compared, slots included: a copy (``COPY``);
+* where too many differ for that, but templates agree over a stretch of the same
+  length: if each filling of a slot is replaced by one and the same word
+  throughout the last such stretch, the document holds the item with other values (``OTHER_VALUES``);
+  if not, it only shares the pattern.
+
+:func:`leaks` gives copies, :func:`reparameterised` the second kind.
+
+Windows that very many places of items share are left out of an item if so few
+of its places have them that each case needs another one too; what remains is
+paired in slices, so a stock opening costs no memory.
 
 The window is as long as every case guarantees: a stretch of L words with L // 8
 changes has an unchanged run of at least ceil((L - L // 8) / (L // 8 + 1)) words,
@@ -45,6 +56,9 @@ SLICE_WORDS = 1 << 21
 SLICE_CHARS = 1 << 21
 MEMO_WORDS = 1 << 19
 NUMBER, NAME, UNIT = 1, 2, 3  # template words; 0 is a word that no item has
+COPY, OTHER_VALUES = 0, 1
+#: Places of items that share a window beyond which it is common; pairs of places looked at at once.
+COMMON, SLICE_PAIRS = 64, 1 << 21
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -78,30 +92,38 @@ def slots(text: str) -> tuple[set[str], set[str]]:
 
 
 class Vocabulary(dict):
-    """Item words by number; other words are 0, numbers that no item has 1."""
+    """Numbers of item words, whatever their case; of other words the type by which they can fill a slot, or 0."""
 
     def __init__(self, words: list[str]):
-        super().__init__((w, i) for i, w in enumerate(words, 4))
-        self.own = len(self)
-        self.words = words
+        super().__init__()
+        self.own = {w: i for i, w in enumerate(words, 4)}
 
     def __missing__(self, word: str) -> int:
-        if len(self) > self.own + MEMO_WORDS:
+        if len(self) > MEMO_WORDS:
             self.clear()
-            self.update((w, i) for i, w in enumerate(self.words, 4))
-        kind = self[word] = NUMBER if word.isdecimal() else 0
+        kind = self.own.get(word.lower())
+        if kind is None:
+            kind = NUMBER if word.isdecimal() else NAME if word[0].isupper() else 0
+        self[word] = kind
         return kind
 
 
-def _rolling(ids: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of all windows."""
-    n = len(ids) - width + 1
-    h = np.zeros(max(n, 0), np.uint64)
+def _hashed(x: np.ndarray, place: np.ndarray, width: int) -> np.ndarray:
+    h = np.zeros(len(place), np.uint64)
     with np.errstate(over="ignore"):
-        x = ids.astype(np.uint64)
+        x = x.astype(np.uint64)
         x = (x ^ (x >> np.uint64(7))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(0x94D049BB133111EB)
         for k in range(width):
-            h = h * np.uint64(_BASE) + x[k : k + n]
+            h = h * np.uint64(_BASE) + x[place + k]
+    return h
+
+
+def window_hashes(template: np.ndarray, ids: np.ndarray, place: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the windows at ``place``: of template words, or of words where all are slots."""
+    h = _hashed(template, place, width)
+    plain = np.concatenate([[0], np.cumsum(template > UNIT)])
+    slots_only = plain[place + width] == plain[place]
+    h[slots_only] = _hashed(ids, place[slots_only], width) ^ np.uint64(_BASE)
     return h
 
 
@@ -115,39 +137,46 @@ class Index:
             a, b = slots(text)
             names |= a
             units |= b
-            words.append(WORD.findall(text.lower()))
+            words.append([w.lower() for w in WORD.findall(text)])
         keep = [k for k, w in enumerate(words) if w]
         self.ids = np.array([items[k][0] for k in keep], np.int64)
         words = [words[k] for k in keep]
         self.vocabulary = Vocabulary(sorted(set(itertools.chain.from_iterable(words))))
-        kinds = [NUMBER if w.isdecimal() else NAME if w in names else UNIT if w in units else i for w, i in self.vocabulary.items()]
+        kinds = [NUMBER if w.isdecimal() else NAME if w in names else UNIT if w in units else i for w, i in self.vocabulary.own.items()]
         self.template = np.array([0, NUMBER, NAME, UNIT, *kinds], np.int64)
         self.sizes = np.array([len(w) for w in words], np.int64)
         self.least = np.array([least_words(len(w)) for w in words], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.words = np.array([self.vocabulary[x] for w in words for x in w], np.int64)
         widths = np.array([sure_run(int(x)) for x in self.least], np.int64)
+        enough = np.array([sure_windows(int(x), int(w)) for x, w in zip(self.least, widths)], np.int64)
         self.widths = {}
         for width in sorted(set(widths.tolist())):
             h, item, at = [], [], []
             for k in np.flatnonzero(widths == width):
                 own = self.words[self.starts[k] : self.starts[k] + self.sizes[k]]
-                h.append(_rolling(self.template[own], width))
+                h.append(window_hashes(self.template[own], own, np.arange(len(own) - width + 1), width))
                 item.append(np.full(len(h[-1]), k))
                 at.append(np.arange(len(h[-1])))
             h, item, at = map(np.concatenate, (h, item, at))
+            _, which, shared = np.unique(h, return_inverse=True, return_counts=True)
+            common = shared[which] > COMMON
+            few = np.bincount(item[common], minlength=len(self.ids)) < enough
+            out = common & few[item]
+            enough[item[out]] = 1
+            h, item, at = h[~out], item[~out], at[~out]
             order = np.argsort(h, kind="stable")
             keys, first, count = np.unique(h[order], return_index=True, return_counts=True)
             self.widths[width] = keys, first, count, item[order], at[order]
-        self.enough = {k: sure_windows(int(x), int(w)) for k, (x, w) in enumerate(zip(self.least, widths))}
+        self.enough = enough  # windows by which a pair can be a case; where common ones are left out, one
 
-    def scan(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in ``texts`` and item ids of the cases."""
+    def scan(self, texts: list[str | None], kind: int = COPY) -> tuple[np.ndarray, np.ndarray]:
+        """Positions in ``texts`` and item ids of the cases of one kind."""
         if not len(self.ids):
             return np.empty(0, np.int64), np.empty(0, np.int64)
         parts, doc_starts, total = [], [], 0
         for t in texts:
-            found = WORD.findall(t.lower()) if t else []
+            found = WORD.findall(t) if t else []
             doc_starts.append(total)
             parts.append(np.fromiter(map(self.vocabulary.__getitem__, found), np.int64, len(found)))
             parts.append(np.zeros(1, np.int64))  # no window reaches over it
@@ -161,18 +190,25 @@ class Index:
                 continue
             void = np.concatenate([[0], np.cumsum(template == 0)])
             place = np.flatnonzero(void[width:] == void[:-width])
-            h = self._hashes_at(template, place, width)
+            h = window_hashes(template, ids, place, width)
             k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
             hit = keys[k] == h
             place, k = place[hit], k[hit]
             if not len(place):
                 continue
-            # Each hit window against each place of the items that has it.
+            # Each hit window against each place of the items that has it, as document, item and diagonal.
             n = count[k]
-            which = np.repeat(first[k] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            doc_at, item_no, item_at = np.repeat(place, n), item[which], at[which]
-            doc = np.searchsorted(doc_starts, doc_at, side="right") - 1
-            d, i = self._verify(ids, doc_starts, total, doc, doc_at, item_no, item_at, width)
+            codes = [np.empty((3, 0), np.int64)]
+            for some in np.split(np.arange(len(k)), np.flatnonzero(np.diff(np.cumsum(n) // SLICE_PAIRS)) + 1):
+                m = n[some]
+                which = np.repeat(first[k[some]] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
+                doc_at = np.repeat(place[some], m)
+                codes.append(np.unique(np.stack([np.searchsorted(doc_starts, doc_at, side="right") - 1, item[which], doc_at - at[which]]), axis=1))
+            code = np.unique(np.concatenate(codes, axis=1), axis=1)
+            d, i = self._copies(ids, doc_starts, total, code, width)
+            if kind == OTHER_VALUES:
+                pair = code[0] * len(self.ids) + code[1]
+                d, i = self._other_values(ids, doc_starts, total, code[:, ~np.isin(pair, d * len(self.ids) + i)], texts)
             out_doc.append(d)
             out_item.append(i)
         if not out_doc:
@@ -180,20 +216,8 @@ class Index:
         pairs = np.unique(np.stack([np.concatenate(out_doc), self.ids[np.concatenate(out_item)]]), axis=1)
         return pairs[0], pairs[1]
 
-    @staticmethod
-    def _hashes_at(template: np.ndarray, place: np.ndarray, width: int) -> np.ndarray:
-        h = np.zeros(len(place), np.uint64)
-        with np.errstate(over="ignore"):
-            x = template.astype(np.uint64)
-            x = (x ^ (x >> np.uint64(7))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(0x94D049BB133111EB)
-            for k in range(width):
-                h = h * np.uint64(_BASE) + x[place + k]
-        return h
-
-    def _verify(self, ids, doc_starts, total, doc, doc_at, item_no, item_at, width):
-        """Cases among the window pairs: by slot and word along each diagonal, then across diagonals."""
-        shift = doc_at - item_at
-        code = np.unique(np.stack([doc, item_no, shift]), axis=1)
+    def _copies(self, ids, doc_starts, total, code, width):
+        """Copies among (document, item, diagonal): by word along each diagonal, then across diagonals."""
         ends = np.append(doc_starts[1:] - 1, total - 1)
         good = np.zeros(code.shape[1], bool)
         same = np.zeros(code.shape[1], np.int64)
@@ -236,6 +260,36 @@ class Index:
                     more_item.append(i)
         return np.concatenate([doc_ok, np.array(more_doc, np.int64)]), np.concatenate([item_ok, np.array(more_item, np.int64)])
 
+    def _other_values(self, ids, doc_starts, total, code, texts):
+        """Items with other values in their slots: templates agree along a diagonal, and each filling has one replacement."""
+        ends = np.append(doc_starts[1:] - 1, total - 1)
+        words: dict[int, list[str]] = {}
+        out = []
+        for d, i, shift in code.T.tolist():
+            own = self.words[self.starts[i] : self.starts[i] + self.sizes[i]]
+            col = np.arange(max(0, int(doc_starts[d]) - shift), min(len(own), int(ends[d]) - shift))
+            a, b, least = own[col], ids[col + shift], int(self.least[i])
+            kind = self.template[a]
+            alike = kind == self.template[b]
+            if len(col) < least or not self._stretch(alike[None, :], np.ones((1, len(col)), bool), np.array([least]))[0]:
+                continue
+            total_ = np.concatenate([[0], np.cumsum(np.where(alike, -1, DIFFER - 1))])
+            highest = np.maximum.accumulate(total_)
+            stop = least + int(np.flatnonzero(total_[least:] <= highest[: len(total_) - least])[-1])
+            some = np.arange(int(np.argmax(total_[: stop - least + 1])), stop)
+            some = some[alike[some] & (kind[some] <= UNIT)]
+            if d not in words:
+                words[d] = [w.lower() for w in WORD.findall(texts[d])]
+            at = (col + shift - doc_starts[d])[some]
+            filled: dict[int, set[str]] = {}
+            for x, y in zip(a[some].tolist(), at.tolist()):
+                filled.setdefault(x, set()).add(words[d][y])
+            names = {i: w for w, i in self.vocabulary.own.items() if i in filled}
+            if all(len(x) == 1 for x in filled.values()) and any(names[x] not in y for x, y in filled.items()):
+                out.append((d, i))
+        pairs = np.array(out, np.int64).reshape(-1, 2)
+        return pairs[:, 0], pairs[:, 1]
+
     @staticmethod
     def _stretch(equal: np.ndarray, inside: np.ndarray, least: np.ndarray) -> np.ndarray:
         """Whether a row has a stretch of ``least`` inside columns with one in eight unequal at most."""
@@ -298,7 +352,16 @@ class Index:
 
 
 def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:
-    """``doc, item``: each document with each item of which it holds a case."""
+    """``doc, item``: each document with each item of which it holds a copy."""
+    return _scanned(documents, items, doc, item, text, COPY)
+
+
+def reparameterised(documents: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:
+    """``doc, item``: each document with each item that it holds with other values, and not as a copy."""
+    return _scanned(documents, items, doc, item, text, OTHER_VALUES)
+
+
+def _scanned(documents: DataFrame, items: DataFrame, doc: str, item: str, text: str, kind: int) -> DataFrame:
     spark = documents.sparkSession
     source = documents.select(F.col(f"`{doc}`").cast("long").alias("d"), F.col(f"`{text}`").cast("string").alias("t")).where("t IS NOT NULL AND d IS NOT NULL")
     every = items.select(F.col(f"`{item}`").cast("long").alias("i"), F.col(f"`{text}`").cast("string").alias("t")).where("t IS NOT NULL AND i IS NOT NULL")
@@ -320,7 +383,7 @@ def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", item: str
                         some.append(texts[stop].as_py())
                         chars += len(some[-1])
                         stop += 1
-                    k, i = held[0].scan(some)
+                    k, i = held[0].scan(some, kind)
                     yield pa.RecordBatch.from_arrays([pa.array(d[at:stop][k]), pa.array(i)], names=["d", "i"])
                     at = stop
 

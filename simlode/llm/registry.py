@@ -60,6 +60,11 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaks(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "eval_items"))
 
 
+def p7_reparameterised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold an evaluation item with other values in its slots, with the item."""
+    return leaks.reparameterised(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "eval_items"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with each of their subject areas."""
     return subjects.subject_areas(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "subjects"))
@@ -70,7 +75,7 @@ def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_found(spark, sf_dir).groupBy("subject").count()
 
 
-QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p1_sizes": p1_sizes, "p4_found": p4_found, "p4_audit": p4_audit, "p4_bounds": p4_bounds, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_mix": p8_mix}
+QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p1_sizes": p1_sizes, "p4_found": p4_found, "p4_audit": p4_audit, "p4_bounds": p4_bounds, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_reparameterised": p7_reparameterised, "p8_found": p8_found, "p8_mix": p8_mix}
 
 # Vectors that count, as unit vectors; the filter comes before the norm, which must not meet a wrong size.
 _SOUND = """

@@ -104,3 +104,62 @@ def test_tables(spark, monkeypatch, slice_words):
     e = spark.createDataFrame(rows, "item_id long, text string, d string")
     assert sorted(map(tuple, L.leaks(d, e).collect())) == [(1, 0), (1, 0), (4, 3)]
     assert L.leaks(d.limit(0), e).collect() == [] and L.leaks(d, e.limit(0)).collect() == []
+
+
+QUESTION = "A train leaves Harlow at 9 and Bexley gets 120 riders by 45 past so Harlow sends 30 riders more to Bexley by 11 and Harlow gets 8"
+
+
+def kinds(doc, items):
+    index = L.Index(items)
+    return [{int(x) for x in index.scan([doc], kind)[1]} for kind in (L.COPY, L.OTHER_VALUES)]
+
+
+def test_other_values_need_one_replacement_each():
+    swap = lambda **by: " ".join(by.get(w, by.get("n" + w, w)) for w in QUESTION.split())
+    items = [(1, QUESTION), (2, item(3))]
+    again = swap(Harlow="Norwich", Bexley="Thame", n9="7", n120="85", n45="20", n30="14", n11="12", n8="3")
+    assert kinds("x = 1 # " + again, items) == [set(), {1}]
+    assert kinds(QUESTION, items) == [{1}, set()]
+    # The same pattern, but one filling has two replacements.
+    words = again.split()
+    words[len(words) - 1 - words[::-1].index("Norwich")] = "Luton"
+    assert kinds(" ".join(words), items) == [set(), set()]
+    # Other words beside the slots.
+    assert kinds(" ".join(w if i % 2 else "other" for i, w in enumerate(again.split())), items) == [set(), set()]
+
+
+def test_reparameterised_table(spark):
+    docs = spark.createDataFrame([(1, QUESTION), (2, QUESTION.replace("Harlow", "Norwich").replace("Bexley", "Thame").replace("120", "85").replace("45", "20").replace(" 9 ", " 7 ").replace("30", "14").replace(" 11 ", " 12 ")), (3, None), (4, "")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, QUESTION), (8, None)], "item_id long, text string")
+    rows = lambda df: {tuple(r) for r in df.collect()}
+    assert rows(L.leaks(docs, items)) == {(1, 7)} and rows(L.reparameterised(docs, items)) == {(2, 7)}
+
+
+def test_common_opening_is_left_out_without_loss(monkeypatch):
+    monkeypatch.setattr(L, "COMMON", 3)
+    monkeypatch.setattr(L, "SLICE_PAIRS", 50)
+    opening = "please answer the question below with one short word only"
+    items = {i: f"{opening} {item(i, 50)}" for i in range(8)} | {20: opening}
+    whole = L.Index(list(items.items()))
+    assert any(whole.enough[k] == 1 for k in range(8))
+    r = random.Random(1)
+    docs = []
+    for k in range(40):
+        words = items[k % 8].split()
+        n = r.choice([20, 22, 26, 30])
+        s = r.randrange(max(1, len(words) - n))
+        part = words[s : s + n]
+        if k % 3 == 1:
+            part.insert(len(part) // 2, "more")
+        if k % 3 == 2:
+            del part[len(part) // 2]
+        docs.append(" ".join(part))
+    found = {(int(a), int(b)) for a, b in zip(*whole.scan([*docs, opening]))}
+    truth = {(a, b) for a, d in enumerate([*docs, opening]) for b, t in items.items() if brute(d, t)}
+    assert found == truth and any(b == 20 for _, b in truth)
+
+
+def test_lists_of_numbers_match_by_their_words():
+    text = "check " + " ".join(str(i * 37 % 1000) for i in range(30))
+    assert kinds("data = [" + ", ".join(str(i) for i in range(400)) + "]", [(1, text)])[0] == set()
+    assert kinds("data = [" + ", ".join(str(i * 37 % 1000) for i in range(5, 25)) + "]", [(1, text)])[0] == {1}
