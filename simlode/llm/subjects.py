@@ -1,21 +1,22 @@
 """Subject areas of each document: none, one or several.
 
-A mixture of subjects over the words of names, strings and comments, of which the
-complement (as in complement naive Bayes) decides which speak for a subject, refined
-by expectation-maximization over the unlabelled documents, with one calibrated
+Complement naive Bayes over the words of names, strings and comments, refined by
+expectation-maximization over the unlabelled documents, with one calibrated
 posterior for each subject.
 
-* Features are words (identifiers taken apart), hashed into ``BUCKETS`` numbers,
-  so the model has one size whatever the corpus. Licence text in the leading
-  comment block is left out, line by line, unless nothing else follows;
-  directives, headings and all other comments there count.
+* Features are all words of the whole text (identifiers taken apart), hashed into
+  ``BUCKETS`` numbers, so the model has one size whatever the corpus. A word of
+  the leading comment block is another feature than the same word elsewhere: the
+  model learns by itself that the wording of licence headers, which stand before
+  code of every subject, speaks for none there.
 * For each subject and word, the rate of documents that have the word is held
-  against its rate in the complement, all other documents. A word speaks for a
-  subject only if the rate is ``RATIO`` times that of the complement; all other
-  words are background, however many times they occur.
-* E-step: each word occurrence of a document is shared among background and the
-  subjects it speaks for, together with the document's mixture of subjects;
-  labels weigh in where there are some. M-step: the counts are summed again.
+  against its rate in the complement, all other documents. Their quotient is the
+  weight of the word for the subject; below ``RATIO`` it is no evidence.
+* A document may deal with several subjects, so each word occurrence is shared
+  among background (weight one) and the subjects, by these weights and by the
+  document's mixture of subjects, until the mixture agrees with the shares. That
+  is the E-step too; labels weigh in where there are some. M-step: the rates are
+  counted again.
 * The posterior of a subject is logistic in its share of the document's
   subject words and in their number, fitted on labelled documents: at most
   ``CALIBRATION_ROWS`` of them, taken by hash. Everything else uses all rows.
@@ -50,64 +51,32 @@ SUBSTANTIAL, EVEN = 0.15, 0.5
 CALIBRATION_ROWS = 50_000
 MAX_SUBJECTS = 256
 NONE = "none"
-FEW, TRACE, SMOOTH, LEVEL, LEAST = 6, 0.02, 0.2, 0.05, 1.0
+SMOOTH, LEVEL, LEAST, LEAST_ODDS = 0.2, 0.05, 1.0, 0.5
 SLICE_CHARS = 1 << 21
 MEMO_WORDS = 1 << 19
 
 LEAD = re.compile(r"\A﻿?(?:[ \t]*(?:#|//|--|/\*|\*|%|;|<!--)[^\n]*\n|[ \t]*\r?\n)++")
-MARK = re.compile(r"\A\s*(?:<!--|#+(?!!)|//+|--+|/\*+|\*+|%+|;+)?[ \t]*")
-DIRECTIVE = re.compile(r"\A\s*(?:#!|#[ \t]*(?:include|define|undef|if|ifdef|ifndef|elif|else|endif|error|line|import)\b(?=[ \t]*(?:[\"<(]|\w+(?:[ \t]+[-\w.\"(]+)?[ \t]*\r?\n)|[ \t]*\r?\n)|#[ \t]*pragma\b)")
-#: Where licence text begins: a title in capitals, or wording that only licences have.
-TITLE = re.compile(r"\b(?:LICEN[CS]E|COVENANT|COPYRIGHT|TERMS)\b")
-WORDING = re.compile(
-    r"SPDX-License|copyright\s+(?:\(c\)|©|\d{4})|all rights reserved|licensed under|permission is hereby granted|redistributions?\s+(?:and use|of source|in binary|must)"
-    r"|gnu (?:lesser |affero )?general public|(?:apache|mit|bsd|mozilla public) licen[cs]e|provided [\"'“]?as is|without warrant(?:y|ies) of|no warranty,|this (?:copyright )?notice|\bthe (?:taker|giver)\b",
-    re.IGNORECASE,
-)
-CLAUSE = re.compile(r"(?:\d+|[a-z])[.)]\s")
-LEGAL = re.compile(r"\b(?:licen[cs]e|warrant|liabilit)", re.IGNORECASE)
-ENDED = re.compile(r"[.:!?]\W*\Z")
 PART = re.compile(r"[A-Z]?[a-zß-öø-ÿ]{2,}|[A-ZÀ-Þ]{3,}(?![a-zß-öø-ÿ])|[^\W\d_a-zA-ZÀ-ÿ]{2,}")
 
 
 class Buckets(dict):
+    """Feature numbers of words, of the leading comment block (``lead``) or elsewhere."""
+
+    def __init__(self, lead: bool = False):
+        super().__init__()
+        self.mark = b"\0" if lead else b""
+
     def __missing__(self, word: str) -> int:
         if len(self) > MEMO_WORDS:
             self.clear()
-        n = self[word] = xxhash.xxh3_64_intdigest(word.lower().encode()) % BUCKETS
+        n = self[word] = xxhash.xxh3_64_intdigest(self.mark + word.lower().encode()) % BUCKETS
         return n
 
 
-def _licence(line: str, before: str | None) -> str | None:
-    """What a leading line says, if it is licence text; ``before`` is that of the line above, None outside of such text."""
-    said = line[MARK.match(line).end() :].rstrip(" \t\r\n*/->")
-    if DIRECTIVE.match(line):
-        return None
-    if not said:
-        return None if before is None else "."
-    if WORDING.search(said) or TITLE.search(said) and said == said.upper():
-        return said
-    if before is None:
-        return None
-    if CLAUSE.match(said) or LEGAL.search(said) and said[0].islower():
-        return said
-    if before == before.upper() and before != ".":  # under a title
-        return said if said.islower() and len(said.split()) <= 2 and said.replace(" ", "").isalpha() else None
-    # The rest of a sentence that the line above leaves open.
-    return said if not ENDED.search(before) and (not said[0].isalpha() or said[0].islower()) else None
-
-
-def body(text: str) -> str:
-    """The text without the licence lines of its leading comment block, if anything else follows the block."""
+def lead_end(text: str) -> int:
+    """Where the leading comment block ends; 0 if nothing else follows."""
     lead = LEAD.match(text)
-    if not lead or not text[lead.end() :].strip():
-        return text
-    kept, before = [], None
-    for line in lead.group().removeprefix("\ufeff").splitlines(keepends=True):
-        before = _licence(line, before)
-        if before is None:
-            kept.append(line)
-    return "".join(kept) + text[lead.end() :]
+    return lead.end() if lead and text[lead.end() :].strip() else 0
 
 
 def word_counts(documents: DataFrame, doc: str, text: str) -> DataFrame:
@@ -115,15 +84,16 @@ def word_counts(documents: DataFrame, doc: str, text: str) -> DataFrame:
     source = documents.select(F.col(f"`{doc}`").cast("long").alias("d"), F.col(f"`{text}`").cast("string").alias("t")).where("t IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets = Buckets()
+        heads, bodies = Buckets(True), Buckets()
         for batch in batches:
             d, texts, at = batch.column("d"), batch.column("t"), 0
             while at < len(texts):
                 parts, sizes, chars = [], [], 0
                 while at + len(sizes) < len(texts) and (not sizes or chars < SLICE_CHARS):
                     t = texts[at + len(sizes)].as_py()
-                    words = PART.findall(body(t))
-                    parts.append(np.fromiter(map(buckets.__getitem__, words), np.int64, len(words)))
+                    end = lead_end(t)
+                    words = [heads[w] for w in PART.findall(t[:end])] + [bodies[w] for w in PART.findall(t, end)]
+                    parts.append(np.array(words, np.int64))
                     sizes.append(len(words))
                     chars += len(t)
                 rows = np.repeat(np.arange(len(sizes)), sizes)
@@ -137,52 +107,47 @@ def word_counts(documents: DataFrame, doc: str, text: str) -> DataFrame:
 
 
 class Model:
-    """Word rates of each class (subjects, then background) and which words speak for which."""
+    """Weights of words for each subject against its complement; background, the last class, has one throughout."""
 
     def __init__(self, names: list[str]):
         self.names, self.k = names, len(names)
-        self.rates = np.zeros((self.k + 1, BUCKETS))
+        self.weights = np.zeros((self.k + 1, BUCKETS))
         self.topical = np.zeros(BUCKETS, bool)
 
     def __getstate__(self) -> tuple:
-        """What is broadcast: rates of the words that speak for something."""
+        """What is broadcast: weights of the words that speak for something."""
         used = np.flatnonzero(self.topical)
-        return self.names, used.astype(np.int32), self.rates[:, used].astype(np.float32)
+        return self.names, used.astype(np.int32), self.weights[:, used].astype(np.float32)
 
     def __setstate__(self, state: tuple) -> None:
-        names, used, rates = state
+        names, used, weights = state
         self.__init__(names)
         self.topical[used] = True
-        self.rates[:, used] = rates
+        self.weights[:, used] = weights
 
-    def fit(self, docs: np.ndarray, docs_all: np.ndarray, words: np.ndarray | None, frequency: np.ndarray) -> None:
-        """docs: documents of each class with the word; docs_all: documents of each class; words: occurrences given to each class."""
+    def fit(self, docs: np.ndarray, docs_all: np.ndarray, frequency: np.ndarray) -> None:
+        """docs: documents of each class with the word; docs_all: documents of each class."""
         total = docs.sum(0)
         rate = (docs + SMOOTH) / (docs_all[:, None] + 2 * SMOOTH)
-        rest = (total - docs + SMOOTH) / (docs_all.sum() - docs_all[:, None] + 2 * SMOOTH)
-        speaks = (rate / rest >= RATIO)[: self.k]
-        known = frequency >= 2
-        few = (total < FEW) & known
-        words = docs if words is None else words
-        rates = np.zeros_like(self.rates)
-        rates[: self.k] = np.where(speaks & known, words[: self.k], 0) + TRACE * few
-        neutral = ~speaks.any(0)
-        rates[self.k] = np.where(neutral, total, words[self.k] if words is not docs else TRACE * total) + TRACE / 2
-        self.topical = known & (rates[: self.k] > 0).any(0)
-        self.rates = rates / rates.sum(1, keepdims=True)
+        complement = (total - docs + SMOOTH) / (docs_all.sum() - docs_all[:, None] + 2 * SMOOTH)
+        odds = rate / complement
+        speaks = (odds[: self.k] >= RATIO) & (frequency >= 2)
+        # Words of a passing mention: how rare the word is in documents without a subject says how little it is one.
+        self.weights = np.concatenate([np.where(speaks, odds[: self.k], 0), np.clip(odds[self.k :], LEAST_ODDS, 1)])
+        self.topical = speaks.any(0)
 
     def expect(self, offsets: np.ndarray, words: np.ndarray, counts: np.ndarray, weight: np.ndarray | None = None):
-        """Of a batch of documents: the topical entries, their shares by class, and each document's occurrences by class."""
+        """Of a batch of documents: each one's occurrences by class."""
         n = len(offsets) - 1
         keep = self.topical[words]
         rows = np.repeat(np.arange(n), np.diff(offsets))
         every = np.bincount(rows, weights=counts, minlength=n)
         rows, at, x = rows[keep], words[keep], counts[keep].astype(float)
-        like = self.rates[:, at].T
+        like = self.weights[:, at].T
         background = every - np.bincount(rows, weights=x, minlength=n)
         mixture = np.full((n, self.k + 1), 0.5 / self.k)
         mixture[:, self.k] = 0.5
-        share, mass = np.zeros((len(rows), self.k + 1)), np.zeros((n, self.k + 1))
+        mass = np.zeros((n, self.k + 1))
         first = np.flatnonzero(np.diff(rows, prepend=-1)) if len(rows) else np.empty(0, np.int64)
         for _ in range(INNER):
             share = (mixture if weight is None else mixture * weight)[rows] * like
@@ -192,7 +157,7 @@ class Model:
                 mass[rows[first]] = np.add.reduceat(share, first, axis=0)
             mass[:, self.k] += background
             mixture = (mass + LEVEL) / (mass.sum(1, keepdims=True) + (self.k + 1) * LEVEL)
-        return rows, at, share, mass
+        return mass
 
     def subject_shares(self, mass: np.ndarray, least: float = 2.0) -> np.ndarray:
         """Each document's class mixture for counting: its subjects by share, or background."""
@@ -312,7 +277,7 @@ class SubjectClassifier:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = model if first else shared.value
-            docs, words = np.zeros((k + 1, BUCKETS)), np.zeros((k + 1, BUCKETS))
+            docs = np.zeros((k + 1, BUCKETS))
             per_class, frequency, labelled = np.zeros(k + 1), np.zeros(BUCKETS), 0
             for batch in batches:
                 offsets, at, x = _lists(batch)
@@ -325,23 +290,20 @@ class SubjectClassifier:
                 else:
                     weight = np.where(has[:, None], np.where(y > 0, 1.0, 0.2), 1.0)
                     weight[:, k] = 1.0
-                    _, w, s, mass = own.expect(offsets, at, x, weight)
-                    for c in range(k + 1):
-                        words[c] += np.bincount(w, weights=s[:, c], minlength=BUCKETS)
-                    found = own.subject_shares(mass)
+                    found = own.subject_shares(own.expect(offsets, at, x, weight))
                     share = np.where(has[:, None], (found + share) / 2, found)
                 per_class += share.sum(0)
                 rows = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
                 for c in np.flatnonzero(share.any(0)):
                     docs[c] += np.bincount(at, weights=share[rows, c], minlength=BUCKETS)
-            used = np.flatnonzero(docs.any(0) | words.any(0) | (frequency > 0))
-            columns = [*docs[:, used], *words[:, used], frequency[used]]
+            used = np.flatnonzero(docs.any(0) | (frequency > 0))
+            columns = [*docs[:, used], frequency[used]]
             # A last row, bucket -1, carries the sums over documents.
-            last = [*per_class, *np.zeros(k + 1), float(labelled)]
+            last = [*per_class, float(labelled)]
             arrays = [pa.array(np.append(c, z)) for c, z in zip(columns, last)]
             yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1).astype(np.int32)), *arrays], names=["b", *(f"v{i}" for i in range(len(arrays)))])
 
-        wide = 2 * (k + 1) + 1
+        wide = k + 2
         parts = counted.mapInArrow(run, "b int, " + ", ".join(f"v{i} double" for i in range(wide)))
         # At most BUCKETS + 1 rows, whatever the corpus.
         got = parts.groupBy("b").agg(*[F.sum(f"v{i}").alias(f"v{i}") for i in range(wide)]).toPandas()
@@ -351,17 +313,17 @@ class SubjectClassifier:
         full = np.zeros((wide, BUCKETS))
         full[:, b[b >= 0]] = v[b >= 0].T
         sums = v[b < 0].sum(0) if (b < 0).any() else np.zeros(wide)
-        return full[: k + 1], sums[: k + 1], full[k + 1 : -1], full[-1], int(sums[-1])
+        return full[:-1], sums[:-1], full[-1], int(sums[-1])
 
     def train(self, counted: DataFrame) -> None:
         """``counted`` has ``d, words, counts, labels`` and is read ``ROUNDS + 2`` times."""
-        docs, per_class, _, frequency, self.labelled = self._round(counted, True)
+        docs, per_class, frequency, self.labelled = self._round(counted, True)
         if not self.labelled or not self.names:
             return
-        self.model.fit(docs, per_class, None, frequency)
+        self.model.fit(docs, per_class, frequency)
         for _ in range(ROUNDS):
-            docs, per_class, words, _, _ = self._round(counted, False)
-            self.model.fit(docs, per_class, words, frequency)
+            docs, per_class, _, _ = self._round(counted, False)
+            self.model.fit(docs, per_class, frequency)
         self._calibrate(counted)
 
     def _calibrate(self, counted: DataFrame) -> None:
@@ -371,7 +333,7 @@ class SubjectClassifier:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                mass = shared.value.expect(*_lists(batch))[3]
+                mass = shared.value.expect(*_lists(batch))
                 flat = np.concatenate([features(mass, k).reshape(batch.num_rows, -1), _labels(batch, k)[:, :k]], axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(list(flat), pa.list_(pa.float64()))], names=["x"])
 
@@ -393,7 +355,7 @@ class SubjectClassifier:
                 if not trained:
                     continue
                 model, calibration = shared.value
-                mass = model.expect(*_lists(batch))[3]
+                mass = model.expect(*_lists(batch))
                 own = mass[:, :k]
                 part = (own >= SUBSTANTIAL * own.sum(1, keepdims=True)) | (own >= EVEN * own.max(1, keepdims=True, initial=0))
                 row, col = np.nonzero((calibration.posterior(features(mass, k)) >= 0.5) & part & (own >= LEAST))

@@ -60,10 +60,25 @@ def test_without_labels_or_documents(spark):
     assert S.subject_areas(d, y, s.limit(0)).collect() == []
 
 
-def test_body_leaves_out_the_leading_comment():
-    assert S.body("﻿// A LICENCE\n// more\n\nint x;") == "int x;"
-    assert S.body("# only\n# comments\n") == "# only\n# comments\n"
-    assert S.body("a\n# b") == "a\n# b"
+def test_the_leading_comment_is_told_from_the_rest():
+    for text, lead in [("﻿// A LICENCE\n// more\n\nint x;", "﻿// A LICENCE\n// more\n\n"), ("# only\n# comments\n", ""), ("a\n# b", ""), ('#include "a.h"\nint x;', '#include "a.h"\n'), ("", "")]:
+        assert text[: S.lead_end(text)] == lead
+
+
+def test_every_word_of_the_text_counts(spark):
+    text = "#!/bin/sh\n# A window holds granary rows.\nexport granary=1 # GRANARY\n"
+    got = S.word_counts(spark.createDataFrame([(1, text)], "d long, t string"), "d", "t").first()
+    words = S.PART.findall(text)
+    assert sum(got.counts) == len(words) and len(got["words"]) == len({w.lower() for w in words}) + 1  # granary is two features
+
+
+def test_headers_that_stand_before_everything_speak_for_nothing(spark):
+    docs, truth, labels = corpus(600, 3)
+    header = docs[[d[1].startswith("# SOME") for d in docs].index(True)][1].split("\n")[:2]
+    docs += [(7000, "\n".join([*header, "value = index"]), "t", 0), (7001, "\n".join(x.removeprefix("# ") for x in header * 4), "t", 0), (7002, "# The sonata and the fugue\n# for violin and oboe, a tempo and a chord\n// melody aria sonata\nvalue = index", "t", 0)]
+    d, y, s = tables(spark, docs, labels)
+    got = {(r.doc_id, r.subject) for r in S.subject_areas(d, y, s).collect() if r.doc_id >= 7000}
+    assert (7001, "law") in got and 7000 not in {i for i, _ in got}
 
 
 def test_calibration_sees_through_wrong_labels():
@@ -82,22 +97,9 @@ def test_model_travels_sparse():
 
     m = S.Model(["a", "b"])
     m.topical[[3, 70]] = True
-    m.rates[:, [3, 70]] = 0.25
+    m.weights[:, [3, 70]] = 0.25
     back = pickle.loads(pickle.dumps(m))
-    assert (back.topical == m.topical).all() and (back.rates == m.rates).all() and len(pickle.dumps(m)) < 2000
-
-
-def test_body_leaves_out_nothing_but_licence_text():
-    script = "#!/bin/sh\n# A window may hold many granary rows.\n# Older releases mixed up field and mulch.\nexport A=1\n"
-    header = '#include "referee.h"\n#define regatta 1\n\n// Older releases mixed up playoff and substitution.\nint x;\n'
-    assert S.body(script) == script and S.body(header) == header
-    assert S.body("# The sonata\n* violin\n; fugue\nx = 1") == "# The sonata\n* violin\n; fugue\nx = 1"
-    licence = "// FERNLEAF LICENCE 1\n// \n// 1. The giver stands behind nothing: no warranty, spoken or written.\n"
-    assert S.body(licence + header) == header
-    assert S.body("# PLAIN PEBBLE LICENCE\n" + script.split("\n", 1)[1]) == script.split("\n", 1)[1]
-    wrapped = "/* Copyright (c) 2020 X\n * Permission is hereby granted, free of charge, to any person\n * obtaining a copy of this work.\n */\n"
-    assert S.body(wrapped + "// Tunes the violin.\nint x;") == "// Tunes the violin.\nint x;"
-    assert S.body("# Sorts by level, then by liability.\n# like a covenant\nx = 1") == "# Sorts by level, then by liability.\n# like a covenant\nx = 1"
+    assert (back.topical == m.topical).all() and (back.weights == m.weights).all() and len(pickle.dumps(m)) < 2000
 
 
 def test_an_even_mixture_of_many_subjects_keeps_them(spark):
