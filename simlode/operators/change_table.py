@@ -19,7 +19,7 @@ ts double, seq bigint``; any further columns are the payload of the row.
 Defined cases: changes with a null ``ts``, ``kind`` or (except for clears)
 ``key`` are ignored; a NaN ``ts`` counts as none; changes with equal group, key
 and ``ts`` are one change, of which the smallest ``seq`` stays; a clear removes
-what is not later than itself by (``ts``, ``seq``); groups may be null and are
+what is not later than itself, so also a change of its own ``ts``; groups may be null and are
 then one group; an empty batch commits nothing.
 """
 
@@ -128,7 +128,7 @@ class ChangeTable:
         stored = self._rows(sorted(m["files"].values())).where("kind = 'put'")
         if m["clears"]:
             clears = self.spark.read.schema("grp string, ts double, seq bigint").parquet(f"{self.path}/{m['clears']}").toDF("cgrp", "cts", "cseq")
-            gone = (F.col("cts") > F.col("ts")) | ((F.col("cts") == F.col("ts")) & (F.col("cseq") >= F.col("seq")))
+            gone = F.col("cts") >= F.col("ts")
             stored = stored.join(clears, F.col("grp").eqNullSafe(F.col("cgrp")) & gone, "left_anti")
         return stored.select("grp", "key", "seq", "ts", *self.payload.names)
 

@@ -65,12 +65,12 @@ def unseen(batch: DataFrame, stored: DataFrame, keys: Sequence[str], order: Sequ
     """The rows of a new batch to be stored: first copies whose message is not in ``stored``.
 
     ``stored`` needs the key columns only. Null key parts match each other.
-    The batch is reduced to one row per message before the anti-join, so a
-    message repeated within the batch cannot skew it.
+    Both sides are reduced to one row per message before the anti-join, so no
+    message repeated within the batch or among the stored ones can skew it.
     """
     fresh = keep_first(batch, keys, order, required)
     names = [f"k{i}" for i in range(len(keys))]
-    known = stored.where(_complete([c for c in required if c in stored.columns])).select(*[_col(c).alias(n) for c, n in zip(keys, names)])
+    known = stored.where(_complete([c for c in required if c in stored.columns])).select(*[_col(c).alias(n) for c, n in zip(keys, names)]).distinct()
     # The equality below is null-safe; Spark still hashes both sides on the keys.
     on = reduce(lambda a, b: a & b, (fresh["`" + c.replace("`", "``") + "`"].eqNullSafe(known[n]) for c, n in zip(keys, names)))
     return fresh.join(known, on & _complete(required), "left_anti")

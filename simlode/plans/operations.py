@@ -8,7 +8,7 @@ from simlode.engine import PAYLOAD
 from simlode.functions import vector as V
 from simlode.operators import cache, evaluate, mutation_log, registry
 from simlode.operators.change_table import ChangeTable
-from simlode.operators.ring import HashRing, distribution, moved, movement
+from simlode.operators.ring import HashRing, distribution, moved
 from simlode.session import settle, stream, table, work_path
 from simlode.streaming import ingest
 
@@ -36,8 +36,8 @@ def ring_balance(spark, sf):
 
 
 def ring_movement(spark, sf):
-    keys = _keys(spark, sf)
-    return movement(HashRing(NODES).assign(keys, "key"), HashRing(NODES[:3]).assign(keys, "key"), "key")
+    both = HashRing(NODES[:3]).assign(HashRing(NODES).assign(_keys(spark, sf), "key", "a"), "key", "b")
+    return moved(both, F.col("a"), F.col("b"))
 
 
 def modulo_movement(spark, sf):
@@ -101,7 +101,10 @@ def heartbeat_active(spark, sf):
 
 
 def heartbeat_replicas(spark, sf):
-    return registry.replicas_of(registry.active_workers(table(spark, sf, "worker_heartbeats"), now=0.0))
+    """Replicas alive at the time of the last replica's beat."""
+    beats = table(spark, sf, "worker_heartbeats")
+    now = beats.where("role = 'replica'").agg(F.max("last_seen")).first()[0] or 0.0
+    return registry.replicas_of(registry.active_workers(beats.where(F.col("last_seen") <= now), now=now))
 
 
 def worker_sessions(spark, sf):
@@ -143,14 +146,27 @@ def stream_ingest(spark, sf):
     return store.rows().select(F.col("grp").alias("shard"), F.col("key").alias("id"), "seq")
 
 
+def _deliveries(spark, sf):
+    """The events as files of a folder: those of the first and second half of the time, then a last one with the latest and some that are late."""
+    events = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    path = work_path(spark, "deliveries")
+    if first is not None:
+        cut = lambda share: F.lit(first + (last - first) * share)
+        late = F.col("event_id") % 50 == 0
+        for part in (~late & (F.col("ts") < cut(0.5)), ~late & (F.col("ts") >= cut(0.5)) & (F.col("ts") < cut(0.75)), late | (F.col("ts") >= cut(0.75))):
+            events.where(part).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def stream_rates(spark, sf):
-    """Requests per hour of the event stream, windows closed by the watermark included."""
-    events = stream(spark, sf, "events")
+    """Requests per hour of the event stream: windows that the watermark has closed, without events later than it allows."""
+    events = _deliveries(spark, sf)
     path = work_path(spark, "rates")
     rates = ingest.request_rates(events, width="1 hour", by=["event_type"])
-    writer = rates.writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{path}/checkpoint")
-    writer.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{path}/out")).start().awaitTermination()
-    return spark.read.parquet(f"{path}/out").select(F.unix_timestamp("window_start").alias("hour"), "event_type", "requests")
+    writer = rates.writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{path}/checkpoint")
+    writer.format("parquet").start(f"{path}/out").awaitTermination()
+    return spark.read.schema(rates.schema).parquet(f"{path}/out").select(F.unix_timestamp("window_start").alias("hour"), "event_type", "requests")
 
 
 QUERIES = {
@@ -210,7 +226,9 @@ SQL = {
             FROM s LEFT JOIN f ON f.id = s.id LEFT JOIN k ON k.id = s.id, d) GROUP BY reject""",
     "metadata_fields": "SELECT json_extract_string(metadata, '$.source') AS source, count(*) AS requests, max(json_extract_string(metadata, '$.n')::BIGINT) AS max_n FROM insert_requests GROUP BY 1",
     "heartbeat_active": f"SELECT worker_id, last_seen, ttl FROM ({_LAST}) WHERE (SELECT max(last_seen) FROM worker_heartbeats WHERE worker_id IS NOT NULL) - last_seen <= ttl",
-    "heartbeat_replicas": f"SELECT primary_addr, count(*) AS replicas, string_agg(a, ',' ORDER BY a) AS addresses FROM (SELECT DISTINCT primary_addr, host || ':' || port AS a FROM ({_LAST}) WHERE role = 'replica' AND primary_addr <> '') GROUP BY primary_addr",
+    "heartbeat_replicas": f"""SELECT primary_addr, count(*) AS replicas, string_agg(a, ',' ORDER BY a) AS addresses FROM (SELECT DISTINCT primary_addr, host || ':' || port AS a
+        FROM ({_LAST.replace("last_seen IS NOT NULL)", "last_seen <= (SELECT max(last_seen) FROM worker_heartbeats WHERE role = 'replica'))")})
+        WHERE role = 'replica' AND primary_addr <> '' AND (SELECT max(last_seen) FROM worker_heartbeats WHERE role = 'replica') - last_seen <= ttl) GROUP BY primary_addr""",
     "worker_sessions": """
         WITH b AS (SELECT worker_id, make_timestamp((floor(last_seen * 1000000))::BIGINT) AS t FROM worker_heartbeats WHERE worker_id IS NOT NULL AND last_seen IS NOT NULL),
         g AS (SELECT *, CASE WHEN t - lag(t) OVER w < INTERVAL 600 SECONDS THEN 0 ELSE 1 END AS new FROM b WINDOW w AS (PARTITION BY worker_id ORDER BY t)),
@@ -221,6 +239,11 @@ SQL = {
     "request_rate_1m": "SELECT epoch(date_trunc('minute', ts))::BIGINT AS minute, event_type, count(*) AS requests, round(avg(value), 6) AS mean_value FROM events GROUP BY ALL",
     "cache_hit_ratio": "SELECT user_id, round(h / (h + m + 0.0001::DOUBLE), 6) AS ratio FROM (SELECT user_id, count(*) FILTER (event_type = 'view') AS h, count(*) FILTER (event_type = 'error') AS m FROM events GROUP BY user_id)",
     "metrics_long": f"WITH w AS ({_LATENCY}) SELECT event_type AS benchmark_name, metric_name, value, 'ms' AS unit FROM (SELECT event_type, n::DOUBLE AS n, p50, p95 FROM w) UNPIVOT (value FOR metric_name IN (n, p50, p95))",
-    "stream_ingest": _replay().replace("AND len(vector) = dim", ""),
-    "stream_rates": "SELECT epoch(date_trunc('hour', ts))::BIGINT AS hour, event_type, count(*) AS requests FROM events GROUP BY ALL",
+    "stream_ingest": _replay(),
+    "stream_rates": """
+        WITH s AS (SELECT min(ts) AS a, max(ts) AS z FROM events),
+        e AS (SELECT ts, event_type, date_trunc('hour', ts) AS h, event_id % 50 = 0 AS late FROM events),
+        w AS (SELECT max(ts) - INTERVAL 10 MINUTES AS w FROM e, s WHERE NOT late AND ts < a + (z - a) * 0.5)
+        SELECT epoch(h)::BIGINT AS hour, event_type, count(*) AS requests FROM e, s, w
+        WHERE h + INTERVAL 1 HOUR <= z - INTERVAL 10 MINUTES AND NOT (late AND h + INTERVAL 1 HOUR <= w) GROUP BY ALL""",
 }

@@ -50,15 +50,17 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def work_path(spark: SparkSession, purpose: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_root(spark)}/{purpose}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, deleted when the driver ends."""
+    path = f"{shared_root(spark)}/{purpose}-{uuid.uuid4().hex}"
+    files.delete_at_end(spark, path)
+    return path
 
 
 def settle(df: DataFrame, purpose: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The lineage ends in replicated storage, so a lost executor repeats only
-    what reads the result. The files live as long as the shared folder does.
+    what reads the result. The files live as long as the driver.
     """
     path = work_path(df.sparkSession, purpose)
     df.write.parquet(path)

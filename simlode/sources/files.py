@@ -29,6 +29,14 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Have ``path``, which need not exist yet, deleted when the driver's JVM ends."""
+    fs, p = _fs(spark, path)
+    fs.mkdirs(p)  # only what exists can be marked
+    fs.deleteOnExit(p)
+    fs.delete(p, True)
+
+
 def children(spark: SparkSession, path: str) -> list[str]:
     """Names of the entries below ``path``; empty if it does not exist."""
     fs, p = _fs(spark, path)
