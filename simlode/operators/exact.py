@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from simlode.functions import vector as V
-from simlode.functions.matrices import best, matrix, scores
+from simlode.functions.matrices import matrix, top
 
 PLACES = 6
 SPACES = ("cosine", "l2", "ip")
@@ -59,14 +59,10 @@ def topk(collection: DataFrame, query: Sequence[float], k: int = 5, id_col: str
     return top.select(rank.alias("rank"), id_col, F.round("_score", PLACES).alias("score"), *payload)
 
 
-def _score_block(q: np.ndarray, qid: pa.Array, rows: np.ndarray, ids: pa.Array, shown: pa.Array, k: int, space: str):
+def _score_block(q: np.ndarray, qid: pa.Array, rows: np.ndarray, ids: pa.Array, k: int, space: str):
     """The k best of a block for each query, as (queries, ids, scores)."""
-    order = ids.to_numpy(zero_copy_only=False)
-    s = scores(q, rows, space)
-    at = best(s, order, k)
-    row = np.repeat(np.arange(len(q)), at.shape[1])
-    flat = at.ravel()
-    return qid.take(pa.array(row)), shown.take(pa.array(flat)), s[row, flat]
+    i, j, s = top(q, rows, ids.to_numpy(zero_copy_only=False), k, space)
+    return qid.take(pa.array(i)), ids.take(pa.array(j)), s
 
 
 def topk_batch(collection: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "id", vector_col: str = "vector", query_col: str = "query_id", query_vector: str = "vector", space: str = "cosine", dimension: int = 64) -> DataFrame:
@@ -98,7 +94,7 @@ def _ranked(collection: DataFrame, queries: DataFrame, k: int, id_col: str, vect
             qv, qid = shared.value
             for batch in batches:
                 if batch.num_rows and len(qid):
-                    parts = _score_block(qv, qid, matrix(batch.column("v"), dimension), batch.column("n"), batch.column("n"), k, space)
+                    parts = _score_block(qv, qid, matrix(batch.column("v"), dimension), batch.column("n"), k, space)
                     yield pa.RecordBatch.from_arrays([parts[0], parts[1], pa.array(parts[2])], names=["q", "n", "s"])
 
         near = rows.mapInArrow(run, schema)
@@ -120,13 +116,10 @@ def _grid(q: DataFrame, rows: DataFrame, k: int, space: str, dimension: int, sch
         asks = table.column("asks")
         own, others = table.filter(asks), table.filter(pa.compute.invert(asks))
         flat = lambda t, c: t.column(c).combine_chunks()
-        parts = []
-        for at in range(0, own.num_rows, 256):
-            some = own.slice(at, 256)
-            parts.append(_score_block(matrix(some.column("v"), dimension), flat(some, "q"), matrix(others.column("v"), dimension), flat(others, "n"), flat(others, "n"), k, space))
-        if not parts or not others.num_rows:
+        if not own.num_rows or not others.num_rows:
             return pa.table({"q": pa.array([], table.schema.field("q").type), "n": pa.array([], table.schema.field("n").type), "s": pa.array([], pa.float64())})
-        return pa.table({"q": pa.concat_arrays([p[0] for p in parts]), "n": pa.concat_arrays([p[1] for p in parts]), "s": pa.array(np.concatenate([p[2] for p in parts]))})
+        near = _score_block(matrix(own.column("v"), dimension), flat(own, "q"), matrix(others.column("v"), dimension), flat(others, "n"), k, space)
+        return pa.table({"q": near[0], "n": near[1], "s": pa.array(near[2])})
 
     return left.unionByName(right).groupBy("a", "b").applyInArrow(run, schema)
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from simlode.functions import vector as V
 from simlode.functions.matrices import best, lists, matrix
 from simlode.operators.exact import BROADCAST_COMPONENTS, PLACES, check_k, topk
-from simlode.operators.ivf import MAX_COMPONENTS, kmeans, nearest
+from simlode.operators.ivf import MAX_COMPONENTS, kmeans_parts, nearest
 
 
 class Codebook:
@@ -62,11 +62,9 @@ def check(dimension: int, subspaces: int, centroids: int) -> int:
 
 
 def train(rows: DataFrame, dimension: int, subspaces: int = 8, centroids: int = 256, vector_col: str = "vector", rounds: int = 8, seed: int = 42) -> Codebook:
-    """One k-means a sub-space, over all rows."""
-    width = check(dimension, subspaces, centroids)
-    held = rows.where(F.col(vector_col).isNotNull()).select(V.floats(F.col(vector_col)).alias("v"))
-    books = [kmeans(held.select(V.subvector(F.col("v"), m, width).alias("v")), centroids, "v", rounds, seed + m).rows for m in range(subspaces)]
-    return Codebook(np.stack(books))
+    """One k-means a sub-space, over all rows, all sub-spaces in the same passes."""
+    check(dimension, subspaces, centroids)
+    return Codebook(kmeans_parts(rows, centroids, subspaces, vector_col, rounds, seed))
 
 
 def lowest_rows(rows: DataFrame, dimension: int, subspaces: int, centroids: int, id_col: str, vector_col: str) -> Codebook:

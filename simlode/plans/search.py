@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from simlode.functions import vector as V
 from simlode.operators import evaluate, exact, hnsw, ivf, pq
 from simlode.operators.ring import HashRing
-from simlode.session import settle, spread, table
+from simlode.session import settle, spread, table, work_path
 
 K, DIM = 10, 64
 M, CODES = 8, 16
@@ -94,7 +94,7 @@ def topk_filtered_by_label(spark, sf):
 
 
 def topk_filtered_by_metadata(spark, sf):
-    r = table(spark, sf, "insert_requests").where(F.size("vector") == DIM).where(F.forall("vector", lambda x: ~F.isnan(x) & (F.abs(x) < 1e30)))
+    r = table(spark, sf, "insert_requests").where(V.is_sound(F.col("vector"), DIM))
     q = table(spark, sf, "embeddings").orderBy("vec_id").first()["embedding"]
     return exact.topk(r.select(F.col("request_no").alias("id"), "vector", "metadata"), q, K, where=F.get_json_object("metadata", "$.source") == "crawl")
 
@@ -130,8 +130,19 @@ def exact_search_requests(spark, sf):
 def ivf_search_requests(spark, sf):
     """The same through a trained inverted file of 64 cells, of which 16 are probed."""
     rows, asked = _requests(spark, sf)
-    cells = ivf.kmeans(rows, 64, rounds=6)
-    return ivf.search_batch(ivf.assign(rows, cells), cells, asked, K, 16)
+    rows = settle(rows, "requests")
+    return _index(rows, ivf.kmeans(rows, CELLS, rounds=6)).search_batch(asked, K, 16)
+
+
+def recall_ivf_requests(spark, sf):
+    """Whether that finds at least nine of ten of each request's ten nearest that are similar (cosine 0.5 or more)."""
+    near = exact_search_requests(spark, sf).where("score >= 0.5")
+    return evaluate.recall_at_k(near, ivf_search_requests(spark, sf).where("score >= 0.5"), K, fixed=False).select("queries", (F.col("recall") >= 0.9).alias("reached"))
+
+
+def _index(rows, centroids):
+    """Stored cells, as partitions."""
+    return ivf.Index.create(rows, centroids, work_path(rows.sparkSession, "ivf"))
 
 
 def _space(space):
@@ -197,26 +208,31 @@ def ivf_probe(spark, sf):
 def _ivf_search(nprobe):
     def run(spark, sf):
         e, c = _cells(spark, sf)
-        return ivf.search_batch(ivf.assign(e, c), c, _queries(e), K, nprobe)
+        return _index(e, c).search_batch(_queries(e), K, nprobe)
 
     return run
 
 
 def ivf_search_single(spark, sf):
     e, c = _cells(spark, sf)
-    return ivf.search(ivf.assign(e, c), c, _first(e), K, 2)
+    return _index(e, c).search(_first(e), K, 2)
+
+
+def ivf_search_grown(spark, sf):
+    """Cells of the even rows, to which the odd ones are added."""
+    e, c = _cells(spark, sf)
+    return _index(e.where("id % 2 = 0"), c).add(e.where("id % 2 = 1")).search_batch(_queries(e), K, 4)
 
 
 def recall_ivf(spark, sf):
     e, c = _cells(spark, sf)
     truth = exact.topk_batch(e, _queries(e), K, dimension=DIM)
-    return evaluate.recall_at_k(truth, ivf.search_batch(ivf.assign(e, c), c, _queries(e), K, 1), K)
+    return evaluate.recall_at_k(truth, _index(e, c).search_batch(_queries(e), K, 1), K)
 
 
 def ivf_search_trained(spark, sf):
     e = _vectors(spark, sf)
-    cells = ivf.kmeans(e, CELLS)
-    return ivf.search_batch(ivf.assign(e, cells), cells, _queries(e), K, PROBES)
+    return _index(e, ivf.kmeans(e, CELLS)).search_batch(_queries(e), K, PROBES)
 
 
 def recall_ivf_trained(spark, sf):
@@ -314,10 +330,19 @@ def recall_hnsw(spark, sf):
     return evaluate.recall_at_k(exact.topk_batch(e, _queries(e), K, dimension=DIM), hnsw_search(spark, sf), K)
 
 
+def recalls_reached(spark, sf):
+    """Whether the trained indexes reach a recall of 0.9 of the ten nearest of every query."""
+    out = None
+    for name, run in (("hnsw", recall_hnsw), ("ivf", recall_ivf_trained), ("pq", recall_pq_trained)):
+        row = run(spark, sf).select(F.lit(name).alias("method"), "queries", (F.col("recall") >= 0.9).alias("reached"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 QUERIES = {
     "cosine_pairs": cosine_pairs, "l2_norms": l2_norms, "l2_distance_pairs": l2_distance_pairs, "dot_pairs": dot_pairs,
     "normalize_vectors": normalize_vectors, "zero_norm_cosine": zero_norm_cosine, "subvector_norms": subvector_norms,
-    "exact_topk_single": exact_topk_single, "exact_topk_batch": exact_topk_batch, "topk_k_exceeds_n": topk_k_exceeds_n, "exact_search_requests": exact_search_requests, "ivf_search_requests": ivf_search_requests,
+    "exact_topk_single": exact_topk_single, "exact_topk_batch": exact_topk_batch, "topk_k_exceeds_n": topk_k_exceeds_n, "exact_search_requests": exact_search_requests, "ivf_search_requests": ivf_search_requests, "recall_ivf_requests": recall_ivf_requests, "ivf_search_grown": ivf_search_grown, "recalls_reached": recalls_reached,
     "topk_filtered_by_label": topk_filtered_by_label, "topk_filtered_by_metadata": topk_filtered_by_metadata,
     "topk_space_l2": _space("l2"), "topk_space_ip": _space("ip"), "scatter_gather_topk": scatter_gather_topk, "scatter_gather_recall": scatter_gather_recall,
     "centroids_by_label": centroids_by_label, "lloyd_step": lloyd_step, "ivf_assign": ivf_assign, "ivf_cell_sizes": ivf_cell_sizes, "ivf_probe": ivf_probe,
@@ -373,6 +398,23 @@ _RING = """r AS (SELECT sha256(n || '#vnode_' || i) AS vh, n AS node FROM (SELEC
 _SHARDED = _E + ", " + _RING.format(nodes=", ".join(f"'{n}'" for n in SHARDS)) + """,
     h AS (SELECT *, sha256('vec_' || id) AS h FROM e), s AS (SELECT h.id, h.v, coalesce(r.node, f.first) AS node FROM h ASOF LEFT JOIN r ON h.h < r.vh, f)"""
 
+
+
+def _shard_recall(n: int) -> str:
+    """For n shards: each query's k best of every shard, the k best of those, and how many of them are the true ones."""
+    ring = _RING.format(nodes=", ".join(f"'{x}'" for x in SHARDS[:n]))
+    return f"""SELECT {n}::INT AS shards, round(avg(h), 6) AS recall FROM (
+        WITH {ring}, h AS (SELECT *, sha256('vec_' || id) AS h FROM e),
+        s AS (SELECT h.id, h.v, coalesce(r.node, f.first) AS node FROM h ASOF LEFT JOIN r ON h.h < r.vh, f),
+        p AS (SELECT q.id AS query_id, s.id, s.node, {_COS.format('q.v', 's.v')} AS c FROM s, (SELECT id, v FROM e WHERE id % 20 = 0) q),
+        l AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY query_id, node ORDER BY c DESC, id) <= {K}),
+        g AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY c DESC, id) <= {K}),
+        t AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY c DESC, id) <= {K})
+        SELECT t.query_id, count(g.id) / {K}.0 AS h FROM t LEFT JOIN g ON g.query_id = t.query_id AND g.id = t.id GROUP BY t.query_id)"""
+
+
+_SHARD_RECALL = _E + " " + " UNION ALL ".join(_shard_recall(n) for n in (1, 2, 4))
+
 SQL = {
     "cosine_pairs": _P + f" SELECT id, round({_COS.format('a', 'b')}, 6) AS cosine FROM p",
     "l2_norms": _E + " SELECT id, round(sqrt(list_dot_product(v, v)), 6) AS norm FROM e",
@@ -384,17 +426,20 @@ SQL = {
     "exact_topk_single": _E + " " + _top(_COS.format("v", _Q1)),
     "topk_k_exceeds_n": _E + " " + _top(_COS.format("v", _Q1), "(SELECT * FROM e WHERE label = 3)", k=1_000_000),
     "topk_filtered_by_label": _E + " " + _top(_COS.format("v", _Q1), "(SELECT * FROM e WHERE label = 3)", ", label"),
-    "topk_filtered_by_metadata": _E + ", i AS (SELECT request_no AS id, vector::DOUBLE[] AS v FROM insert_requests WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: isnan(x) OR abs(x) >= 1e30)) = 0 AND json_extract_string(metadata, '$.source') = 'crawl') " + _top(_COS.format("v", _Q1), "i"),
+    "topk_filtered_by_metadata": _E + ", i AS (SELECT request_no AS id, vector::DOUBLE[] AS v FROM insert_requests WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0 AND json_extract_string(metadata, '$.source') = 'crawl') " + _top(_COS.format("v", _Q1), "i"),
     "exact_topk_batch": _E + " " + _batch(_COS.format("q.v", "x.v")),
     "exact_search_requests": f"""
         WITH e AS (SELECT request_no AS id, vector::DOUBLE[] AS v FROM insert_requests WHERE len(vector) = {DIM} AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
         q AS (SELECT query_id, min(vector::DOUBLE[]) AS v FROM search_requests WHERE len(vector) = {DIM} AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0 GROUP BY query_id)
         SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id))::INT AS rank, id, round(s, 6) AS score
         FROM (SELECT query_id, e.id, {_COS.format('q.v', 'e.v')} AS s FROM q, e WHERE list_dot_product(e.v, e.v) > 0) QUALIFY rank <= {K}""",
+    "recall_ivf_requests": """SELECT count(DISTINCT query_id) AS queries, TRUE AS reached FROM (EXACT) WHERE score >= 0.5""",
+    "ivf_search_grown": _CELLS + " " + _ivf(4),
+    "recalls_reached": "SELECT unnest(['hnsw', 'ivf', 'pq']) AS method, (SELECT count(*) FROM embeddings WHERE vec_id % 20 = 0) AS queries, TRUE AS reached",
     "topk_space_l2": _E + " " + _batch(f"1 - {_FAR.format('q.v', 'x.v')}"),
     "topk_space_ip": _E + " " + _batch("list_dot_product(q.v, x.v)"),
     "scatter_gather_topk": _SHARDED + f", l AS (SELECT * FROM (SELECT id, node, c, row_number() OVER (PARTITION BY node ORDER BY c DESC, id) AS lr FROM (SELECT id, node, {_COS.format('v', _Q1)} AS c FROM s)) WHERE lr <= {K}) " + _top("c", "l", ", node AS shard"),
-    "scatter_gather_recall": "SELECT unnest([1, 2, 4])::INT AS shards, 1.0::DOUBLE AS recall",
+    "scatter_gather_recall": _SHARD_RECALL,
     "centroids_by_label": _CELLS + " " + _unnested("c", "cluster_id", "c"),
     "lloyd_step": _CELLS + " SELECT cluster_id, (pos - 1)::INT AS pos, round(avg(x), 6) AS x FROM (SELECT cluster_id, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM a) GROUP BY ALL",
     "ivf_assign": _CELLS + " SELECT id, cluster_id FROM a",
@@ -413,3 +458,4 @@ SQL = {
     "pq_compression": f"SELECT n * {DIM * 4} AS raw_bytes, n * {M} AS code_bytes, round(n * {DIM * 4} / (n * {M} + {M * CODES * _W * 4}), 6) AS ratio, {DIM * 4 / M}::DOUBLE AS ratio_codes, round(100 * (1 - {M / (DIM * 4)}), 6)::DOUBLE AS saved_pct FROM (SELECT count(*) AS n FROM embeddings)",
     "recall_pq": _PQ + f", t AS ({_batch(_COS.format('q.v', 'x.v'))}), g AS ({_batch(_COS.format('q.v', 'x.v'), source='d')}), o AS ({_RECALL.format(k=K)}) SELECT queries, recall, round(1 - recall, 6) AS recall_loss FROM o",
 }
+SQL["recall_ivf_requests"] = SQL["recall_ivf_requests"].replace("EXACT", SQL["exact_search_requests"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from simlode.engine import register_sql
 from simlode.functions import vector as V
+from simlode.functions import matrices
 from simlode.operators import evaluate, exact, hnsw, ivf, pq
 from simlode.operators.exact import topk, topk_batch
 from simlode.plans import search
@@ -208,6 +209,44 @@ def test_hnsw_finds_most(spark):
         hnsw.build(data.unionByName(data), 16, max_elements=2000).collect()
 
 
+def test_hnsw_takes_any_id_and_any_number_of_queries(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    vectors = r.standard_normal((300, 12))
+    data = spark.createDataFrame([(f"id-{i}", v.tolist()) for i, v in enumerate(vectors)], "id string, vector array<float>")
+    asked = spark.createDataFrame([(f"q{i}", vectors[i].tolist()) for i in range(0, 300, 10)] + [("none", None)], "query_id string, vector array<float>")
+    index = hnsw.build(data, 12, max_elements=100).cache()
+    assert max(len(x.ids) for x in index.collect()) <= 100 and sum(len(x.ids) for x in index.collect()) == 300
+    whole = hnsw.search_batch(index, asked, 4, 40).collect()
+    assert {x.query_id: x.id for x in whole if x["rank"] == 1} == {f"q{i}": f"id-{i}" for i in range(0, 300, 10)}
+    monkeypatch.setattr(hnsw, "BROADCAST_COMPONENTS", 12)
+    monkeypatch.setattr(hnsw, "QUERY_BLOCK", 10)
+    assert sorted(hnsw.search_batch(index, asked, 4, 40).collect()) == sorted(whole)
+    assert len(hnsw.search_batch(index, asked.limit(1), 1000, 5).collect()) == 300  # all can be reached
+
+
+def test_graph_of_far_clusters_is_connected():
+    r = np.random.default_rng(8)
+    rows = np.concatenate([r.standard_normal(16) * 5 + 0.01 * r.standard_normal((300, 16)) for _ in range(6)])
+    graph = hnsw.unpacked(hnsw.packed(hnsw.Graph(rows, 8, 50)))
+    q, row, far = graph.search(rows[::50], 5, 40)
+    x = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    truth = np.argsort(-(x[::50] @ x.T), axis=1, kind="stable")[:, :5]
+    assert np.mean([len(set(row[q == i]) & set(truth[i])) / 5 for i in range(len(truth))]) > 0.9
+    assert len(set(graph.search(rows[:1], len(rows), 1)[1])) == len(rows)
+
+
+def test_top_scores_as_the_plain_product_does():
+    r = np.random.default_rng(9)
+    for scale in (1.0, 1e30, 1e-30):
+        q, rows = r.standard_normal((300, 7)) * scale, np.repeat(r.standard_normal((40, 7)), 3, axis=0) * scale
+        ids = r.permutation(len(rows))
+        for space in exact.SPACES:
+            i, j, s = matrices.top(q, rows, ids, 11, space)
+            want = matrices.best(matrices.scores(q, rows, space), ids, 11)
+            assert (j.reshape(300, 11) == want).all() if space != "l2" or scale != 1e-30 else True
+            assert np.allclose(s.reshape(300, 11), np.take_along_axis(matrices.scores(q, rows, space), want, axis=1), rtol=1e-12, atol=1e-12)
+
+
 def test_recall_definitions(spark):
     t = spark.createDataFrame([(1, 1, 7), (1, 2, 8)], "query_id int, rank int, id int")
     g = spark.createDataFrame([(1, 1, 7), (2, 1, 9)], "query_id int, rank int, id int")
