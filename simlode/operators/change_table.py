@@ -132,6 +132,15 @@ class ChangeTable:
             stored = stored.join(clears, F.col("grp").eqNullSafe(F.col("cgrp")) & gone, "left_anti")
         return stored.select("grp", "key", "seq", "ts", *self.payload.names)
 
+    def since(self, version_ts: float) -> tuple[bool, DataFrame]:
+        """Whether a clear came after a time, and ``grp, key, kind, ts`` and the payload of what changed after it, deletes included."""
+        m = self.manifest()
+        changed = self._rows(sorted(m["files"].values())).where(F.col("ts") > version_ts).select("grp", "key", "kind", "ts", *self.payload.names)
+        if not m["clears"]:
+            return False, changed
+        clears = self.spark.read.schema("grp string, ts double, seq bigint").parquet(f"{self.path}/{m['clears']}")
+        return bool(clears.where(F.col("ts") > version_ts).limit(1).collect()), changed
+
     def vacuum(self, keep: int = 1) -> None:
         """Drop manifests but the newest ``keep`` and the bucket folders none of those names."""
         versions = sorted(int(n.removesuffix(".json")) for n in files.children(self.spark, f"{self.path}/manifests") if n.endswith(".json"))

@@ -5,8 +5,8 @@ takes the newest manifest. A save that dies leaves the last version as it was.
 Loading verifies schema version, dimension, row count and a checksum of the
 content, and raises ``ValueError`` for whatever differs.
 
-The checksum is the exclusive-or of row hashes together with the count, so it
-does not depend on the order or the number of files.
+The checksum is the exclusive-or of the rows' SHA-256 digests together with the
+count, so it does not depend on the order or the number of files.
 """
 
 from __future__ import annotations
@@ -20,14 +20,27 @@ from pyspark.sql.types import StructType
 from simlode.sources import files
 
 SCHEMA_VERSION = "1.0.0"
-#: Versions that :func:`load` still reads after :func:`migrate`.
-OLDER = ("0.9.0",)
+
+
+def _named(df: DataFrame, m: dict) -> tuple[DataFrame, dict]:
+    """Version 0: columns ``key, embedding`` and no metadata, as the collection's are not yet named."""
+    names = {"key": "id", "embedding": "vector"}
+    df = df.withColumnsRenamed({k: v for k, v in names.items() if k in df.columns})
+    if m["kind"] == "collection" and "metadata" not in df.columns:
+        df = df.withColumn("metadata", F.lit("{}"))
+    return df, {**m, "vector": names.get(m["vector"], m["vector"])}
+
+
+#: What :func:`migrate` does to the rows and manifest of an older schema version; it gives those of the next.
+MIGRATIONS = {"0.9.0": ("1.0.0", _named)}
 
 
 def fingerprint(df: DataFrame) -> tuple[int, str]:
     """Row count and checksum."""
-    n, x, y = df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*df.columns)), F.bit_xor(F.xxhash64(F.lit(1), *df.columns))).first()
-    return n, f"{(x or 0) & (2**64 - 1):016x}{(y or 0) & (2**64 - 1):016x}"
+    digest = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}), 256)
+    parts = [F.bit_xor(F.conv(F.substring("d", 1 + 16 * i, 16), 16, -10).cast("long")) for i in range(4)]
+    n, *x = df.select(digest.alias("d")).agg(F.count(F.lit(1)), *parts).first()
+    return n, "".join(f"{(y or 0) & (2**64 - 1):016x}" for y in x)
 
 
 def newest(spark: SparkSession, path: str) -> int:
@@ -64,6 +77,10 @@ def load(spark: SparkSession, path: str, version: int | None = None, kind: str |
         raise ValueError(f"schema version {m.get('schema_version')}, not {SCHEMA_VERSION}")
     if kind and m["kind"] != kind:
         raise ValueError(f"a {m['kind']}, not a {kind}")
+    return _read(spark, path, m, verify)
+
+
+def _read(spark: SparkSession, path: str, m: dict, verify: bool) -> DataFrame:
     schema = StructType.fromJson(m["columns"])
     df = spark.read.schema(schema).parquet(f"{path}/{m['place']}").select(*schema.names)
     if verify:
@@ -78,12 +95,14 @@ def load(spark: SparkSession, path: str, version: int | None = None, kind: str |
 
 
 def migrate(spark: SparkSession, path: str) -> int:
-    """Rewrite the newest version, if of an older schema version, as the current one."""
+    """Write the newest version anew, if it is of an older schema version, step by step to the current one; rows are checked first."""
     m = manifest(spark, path)
     if m["schema_version"] == SCHEMA_VERSION:
         return m["version"]
-    if m["schema_version"] not in OLDER:
+    if m["schema_version"] not in MIGRATIONS:
         raise ValueError(f"no migration from schema version {m['schema_version']}")
-    at = m["version"] + 1
-    files.commit_json(spark, f"{path}/manifests/{at:010d}.json", {**m, "schema_version": SCHEMA_VERSION, "version": at})
-    return at
+    df, at = _read(spark, path, m, True), m["schema_version"]
+    while at != SCHEMA_VERSION:
+        at, step = MIGRATIONS[at]
+        df, m = step(df, m)
+    return save(df, path, m["kind"], m["vector"], m["partition_by"], m["extra"])

@@ -56,6 +56,15 @@ def read_json(spark: SparkSession, path: str) -> Any:
     return json.loads(read_bytes(spark, path).decode("utf-8"))
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    fs, p = _fs(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
 def commit_json(spark: SparkSession, path: str, value: Any) -> None:
     """Write ``value`` beside ``path`` and rename it there.
 

@@ -2,8 +2,9 @@
 
 Lines are ``{"op", "id", "vector", "metadata", "timestamp"}``. Our own logs also
 carry ``seq`` in the data, so reading them is an ordinary distributed scan. A
-foreign log has only the order of its lines; it is read file by file, each file
-in one task, and numbered there (``seq`` = line number within the file).
+foreign log has only the order of its lines; its files are read in splits, and
+lines are numbered within their file by the splits before theirs and their place
+in their own (``seq`` = line number within the file, blank lines included).
 
 Defined cases: blank lines are skipped; what is not a JSON object with a string
 ``op``, or an insert without id or vector, or a delete without id, is
@@ -14,7 +15,7 @@ read raises.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,8 +38,14 @@ def parse(lines: DataFrame, text: str = "value") -> DataFrame:
 
 def read_foreign(spark: SparkSession, path: str) -> DataFrame:
     """A log without ``seq``: lines numbered within their file, as ``source, seq`` and the fields."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
-    return parse(whole).drop("seq").withColumn("seq", (F.col("line") + 1).cast("long")).drop("line")
+    # Lines in the order of their splits: the id grows with the place in a split, whose number is in its upper bits.
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("place"), "value")
+    # One row a split travels; splits of a file are few, so their sums are one short window a file.
+    splits = lines.groupBy("source", "start").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
+    before = Window.partitionBy("source").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("source", "start", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    numbered = lines.join(splits, ["source", "start"]).withColumn("line", F.col("earlier") + F.col("place") - F.col("first") + 1)
+    return parse(numbered.select("source", "line", "value")).drop("seq").withColumn("seq", F.col("line").cast("long")).drop("line")
 
 
 def append(lines: DataFrame, path: str) -> None:

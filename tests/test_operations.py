@@ -1,20 +1,24 @@
 """Ring, log replay, storage, cache, registry, streaming and the facade."""
 
+import io
+import json
 import random
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from simlode.engine import PAYLOAD, VectorEngine
+from simlode import observe
+from simlode.engine import PAYLOAD, VectorEngine, register_sql
 from simlode.functions import vector as V
 from simlode.operators import cache, mutation_log, registry
 from simlode.operators.change_table import ChangeTable
 from simlode.operators.ring import HashRing, distribution, moved, movement
 from simlode.plans import operations
 from simlode.session import work_path
-from simlode.sources import dataset, files, wal
+from simlode.sources import dataset, files, results, synthetic, wal
 from simlode.streaming import ingest
 
 
@@ -138,10 +142,17 @@ def test_dataset_detects_what_differs(spark):
     files.commit_json(spark, f"{path}/manifests/0000000003.json", {**m, "checksum": "0" * 32, "version": 3})
     with pytest.raises(ValueError):
         dataset.load(spark, path)
-    files.commit_json(spark, f"{path}/manifests/0000000004.json", {**m, "schema_version": "0.9.0", "version": 4})
+    old = spark.createDataFrame([("a", [1.0, 2.0])], "key string, embedding array<float>")
+    dataset.save(old, f"{path}/old", vector_col="embedding")
+    m = dataset.manifest(spark, f"{path}/old")
+    files.commit_json(spark, f"{path}/old/manifests/0000000002.json", {**m, "schema_version": "0.9.0", "version": 2})
     with pytest.raises(ValueError):
-        dataset.load(spark, path)
-    assert dataset.migrate(spark, path) == 5 and dataset.load(spark, path).count() == 1
+        dataset.load(spark, f"{path}/old")
+    assert dataset.migrate(spark, f"{path}/old") == 3 and dataset.migrate(spark, f"{path}/old") == 3
+    assert [tuple(r) for r in dataset.load(spark, f"{path}/old").select("id", "vector", "metadata").collect()] == [("a", [1.0, 2.0], "{}")]
+    files.commit_json(spark, f"{path}/old/manifests/0000000004.json", {**m, "schema_version": "0.1.0", "version": 4})
+    with pytest.raises(ValueError):
+        dataset.migrate(spark, f"{path}/old")
     with pytest.raises(ValueError):
         dataset.save(df.unionByName(spark.createDataFrame([("c", [1.0])], df.schema)), path)
 
@@ -170,12 +181,129 @@ def test_engine(spark):
     assert [r.id for r in e.search_ivf(path, [1.0, 0, 0], 5, 2).collect()] == ["v1", "v3"]
     e.build_pq(path, 3, 2)
     assert [r.id for r in e.search_pq(path, [1.0, 0, 0], 1).collect()] == ["v1"] and len(e.search_pq(path, [1.0, 0, 0], 5, True).collect()) == 2
+    # Indexes of an earlier version give nothing that is gone and all that is new.
+    graphs = work_path(spark, "h")
+    assert e.build_hnsw(graphs, 10) == 1 and [r.id for r in e.search_hnsw(graphs, [1.0, 0, 0], 5).collect()] == ["v1", "v3"]
+    e.insert(batch(("v4", [0.9, 0.1, 0], None)))
+    e.add_to_ivf(path)
+    found = lambda: [[r.id for r in x.collect()] for x in (e.search_ivf(path, [1.0, 0, 0], 5, 2), e.search_hnsw(graphs, [1.0, 0, 0], 5), e.search(query=[1.0, 0, 0]))]
+    assert found() == [["v1", "v4", "v3"]] * 3
+    e.remove(spark.createDataFrame([("v1",)], "id string"))
+    assert found() == [["v4", "v3"]] * 3 and {r.id for r in e.search_pq(f"{path}", [1.0, 0, 0], 5).collect()} == {"v3", "v4"}
+    with pytest.raises(ValueError):
+        e.add_to_ivf(path)
+    e.insert(batch(("v1", [0, 0, 1.0], None)))
+    assert found() == [["v4", "v3", "v1"]] * 3
     e.clear()
     assert e.size() == 0
+    e.insert(batch(("v9", [1.0, 0, 0], None)))
+    assert found() == [["v9"]] * 3
+    e.clear()
     e.insert(batch(("v1", [1, 2], None)))
     assert e.stats()["dimension"] == 2
 
 
+def test_knn_in_sql(spark):
+    rows = spark.createDataFrame([("a", [1.0, 0.0], "{}"), ("b", [0.8, 0.6], None), ("c", [0.0, 1.0], "{}"), ("d", None, None)], "id string, vector array<float>, metadata string")
+    register_sql(spark, rows)
+    assert [(r["rank"], r.id, r.score) for r in spark.sql("SELECT * FROM knn(array(2.0, 0.1), 2) ORDER BY rank").collect()] == [(1, "a", 0.998752), (2, "b", 0.828964)]
+    assert spark.sql("SELECT * FROM knn(array(1D, 0D), 0)").collect() == [] and spark.sql("SELECT count(*) AS n FROM knn(array(1D, 0D), 99)").first().n == 3
+    with pytest.raises(Exception):
+        spark.sql("SELECT * FROM knn(array(1D), 1)").collect()
+
+
+def test_stream_refuses_unsound_vectors_as_replay_does(spark, tmp_path):
+    schema = "seq long, op string, id string, vector array<float>, metadata string"
+    lines = [(1, "insert", "a", [1.0, 2.0], None), (2, "insert", "a", [1.0, 2.0, 3.0], None), (3, "insert", "b", None, None), (4, "insert", "c", [3.0, 4.0], None), (5, "insert", None, [1.0], None), (6, "insert", "d", [1.0], None)]
+    log = spark.createDataFrame(lines, schema)
+    for part in (log.where("seq > 3"), log.where("seq <= 3")):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    table = ChangeTable(spark, work_path(spark, "s"), 2, PAYLOAD)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    ingest.ingest(stream, table, str(tmp_path / "ck")).awaitTermination()
+    assert {r.key: r.seq for r in table.rows().collect()} == {r.id: r.seq for r in mutation_log.replay(log).collect()} == {"c": 4}
+
+
+def test_clear_of_the_same_time(spark):
+    changes = spark.createDataFrame([("g", "a", "put", 1.0, 5), ("g", None, "clear", 1.0, 3), ("g", "b", "put", 2.0, 4)], "grp string, key string, kind string, ts double, seq long")
+    table = ChangeTable(spark, work_path(spark, "c"), 2)
+    table.apply(changes)
+    assert [r.key for r in table.rows().collect()] == ["b"]
+
+
+def test_foreign_log_is_numbered_across_splits(spark, tmp_path):
+    text = ['{"op": "insert", "id": "v%d", "vector": [1.0, %d.0], "metadata": {}, "timestamp": 1.0}' % (i, i) for i in range(5000)]
+    text[7] = ""
+    for name in ("one", "two"):
+        (tmp_path / f"{name}.wal").write_text("\n".join(text))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = wal.read_foreign(spark, f"{tmp_path}/*.wal").select("source", "seq", "id").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(got) == 2 * 4999 and {(r.source[-7:], r.id, r.seq) for r in got} == {(n, f"v{i}", i + 1) for n in ("one.wal", "two.wal") for i in range(5000) if i != 7}
+
+
+def test_results_as_files(spark, tmp_path):
+    rows = spark.createDataFrame([("exact", 1.5, 10, None), ("ivf, trained", 2.5, 20, [1, 2])], "index string, p50 double, n int, more array<int>")
+    results.write_csv(rows, f"{tmp_path}/csv")
+    back = spark.read.option("header", True).csv(f"{tmp_path}/csv")
+    assert {tuple(r) for r in back.collect()} == {("exact", "1.5", "10", None), ("ivf, trained", "2.5", "20", "[1,2]")}
+    results.write_json(rows, f"{tmp_path}/json")
+    assert {(r["index"], r.n) for r in spark.read.json(f"{tmp_path}/json").collect()} == {("exact", 10), ("ivf, trained", 20)}
+    results.write_metrics(rows.drop("more"), "index", f"{tmp_path}/metrics", "ms")
+    assert ("exact", "p50", "1.5", "ms") in {tuple(r) for r in spark.read.option("header", True).csv(f"{tmp_path}/metrics").collect()}
+    results.one_file(rows.drop("more").orderBy("n"), f"{tmp_path}/all.csv")
+    assert (tmp_path / "all.csv").read_text() == 'index,p50,n\nexact,1.5,10\n"ivf, trained",2.5,20\n'
+    results.one_file(rows.orderBy("n"), f"{tmp_path}/all.json")
+    assert json.loads((tmp_path / "all.json").read_text())[0] == {"index": "exact", "p50": 1.5, "n": 10}
+    results.one_file(rows.limit(0), f"{tmp_path}/none.json")
+    assert json.loads((tmp_path / "none.json").read_text()) == []
+
+
+def test_synthetic_rows_repeat_and_are_normal(spark):
+    a, b = (synthetic.vectors(spark, 400, 16, partitions=p).orderBy("id").collect() for p in (1, 5))
+    assert a == b and len({r.id for r in a}) == 400
+    x = np.array([r.vector for r in a])
+    assert np.allclose(np.linalg.norm(x, axis=1), 1, atol=1e-6) and abs(x.mean()) < 0.02 and abs(x.std() * 4 - 1) < 0.05
+    assert synthetic.requests(spark, 3, 4).columns == ["query_id", "vector", "top_k"]
+    with pytest.raises(ValueError):
+        synthetic.vectors(spark, 1, 0)
+    stream = synthetic.load(spark, 100, 4)
+    assert stream.isStreaming and stream.columns == ["at", "kind", "id", "vector"]
+
+
+def test_observed_rows_and_metrics(spark):
+    registry = observe.Registry()
+    seen = observe.Observed(spark.range(10), "scan", registry, {"largest": F.max("id")})
+    assert seen.rows.count() == 10 and seen.record() == {"rows": 10, "largest": 9}
+    with registry.timed("search", index="ivf"):
+        pass
+    with pytest.raises(KeyError), registry.timed("search", index="ivf"):
+        raise KeyError("x")
+    assert registry.value("scan_rows_total") == 10 and registry.value("search_seconds", index="ivf") == 2
+    assert registry.value("search_total", index="ivf", status="error") == 1 and registry.value("scan_largest") == 9
+    text = registry.text()
+    assert "# TYPE search_seconds histogram" in text and 'search_seconds_bucket{index="ivf",le="+Inf"} 2' in text and "scan_rows_total 10" in text
+    with pytest.raises(ValueError):
+        registry.gauge("scan_rows_total", 1)
+
+
+def test_logs_are_json_lines():
+    out = io.StringIO()
+    logger = observe.json_logger("simlode.test", out)
+    logger.info("searched %d", 5, extra={"fields": {"top_k": 3}})
+    try:
+        raise ValueError("no")
+    except ValueError:
+        logger.exception("failed")
+    first, second = map(json.loads, out.getvalue().splitlines())
+    assert first["message"] == "searched 5" and first["top_k"] == 3 and first["level"] == "INFO" and first["logger"] == "simlode.test"
+    assert "ValueError: no" in second["exception"]
+    assert len(observe.json_logger("simlode.test", out).handlers) == 1
+
+
 def test_cell_pruning_reaches_the_scan(spark):
     from simlode.operators import ivf
     import numpy as np
@@ -183,8 +311,12 @@ def test_cell_pruning_reaches_the_scan(spark):
     path = work_path(spark, "p")
     rows = spark.createDataFrame([(f"v{i}", [float(i % 3), 1.0], None) for i in range(9)], "id string, vector array<float>, metadata string")
     c = ivf.Centroids([0, 1, 2], np.array([[0.0, 1], [1, 1], [2, 1]]))
-    dataset.save(ivf.assign(rows, c), path, partition_by="cluster_id")
-    plan = ivf.search(dataset.load(spark, path, verify=False), c, [2.0, 1.0], 2)._jdf.queryExecution().executedPlan().toString()
+    index = ivf.Index.create(rows, c, path)
+    asked = spark.createDataFrame([("q", [2.0, 1.0])], "query_id string, vector array<float>")
+    batch = index.search_batch(asked, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "cluster_id" in batch.split("PartitionFilters: [")[1].split("]")[0]
+    assert ivf.Index(spark, path, verify=True).sizes == {0: 3, 1: 3, 2: 3}
+    plan = index.search([2.0, 1.0], 2)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "cluster_id" in plan.split("PartitionFilters: [")[1].split("]")[0]
 
 
