@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from simlode.engine import PAYLOAD
+from simlode import observe
+from simlode.engine import PAYLOAD, VectorEngine, register_sql
 from simlode.functions import vector as V
-from simlode.operators import cache, evaluate, mutation_log, registry
+from simlode.operators import cache, evaluate, exact, mutation_log, registry
 from simlode.operators.change_table import ChangeTable
 from simlode.operators.ring import HashRing, distribution, moved
 from simlode.session import settle, stream, table, work_path
+from simlode.sources import dataset, files, results, synthetic, wal
 from simlode.streaming import ingest
 
 NODES = [f"worker_{i}" for i in range(1, 5)]
+DIMENSION = 64
 
 
 def _keys(spark, sf):
@@ -169,11 +172,156 @@ def stream_rates(spark, sf):
     return spark.read.schema(rates.schema).parquet(f"{path}/out").select(F.unix_timestamp("window_start").alias("hour"), "event_type", "requests")
 
 
+def _collection(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return e.select(F.concat(F.lit("vec_"), F.col("vec_id").cast("string")).alias("id"), F.col("embedding").alias("vector"), F.to_json(F.struct("label")).alias("metadata"))
+
+
+def _engine(spark, sf):
+    """A collection without the vectors of label 3, which were removed, and with every tenth of them inserted again."""
+    engine, rows = VectorEngine(spark, work_path(spark, "engine"), int(spark.conf.get("spark.sql.shuffle.partitions"))), _collection(spark, sf)
+    three = F.get_json_object("metadata", "$.label") == "3"
+    engine.insert(rows)
+    return engine, rows.where(three)
+
+
+def _changed(engine, three):
+    engine.remove(three.select("id"))
+    engine.insert(three.where(F.substring("id", -1, 1) == "0"))
+    return engine
+
+
+def _asked(spark, sf):
+    return table(spark, sf, "embeddings").orderBy("vec_id").first()["embedding"]
+
+
+def dataset_round_trip(spark, sf):
+    """A collection saved, loaded and verified."""
+    path = work_path(spark, "saved")
+    dataset.save(_collection(spark, sf), path)
+    return dataset.load(spark, path).select("id", "metadata", F.round(V.l2_norm(F.col("vector")), 6).alias("norm"))
+
+
+def dataset_migrated(spark, sf):
+    """A collection of the older schema, brought to the current one."""
+    path = work_path(spark, "older")
+    dataset.save(_collection(spark, sf).select(F.col("id").alias("key"), F.col("vector").alias("embedding")), path, vector_col="embedding")
+    m = dataset.manifest(spark, path)
+    files.commit_json(spark, f"{path}/manifests/0000000002.json", {**m, "schema_version": "0.9.0", "version": 2})
+    dataset.migrate(spark, path)
+    return dataset.load(spark, path).select("id", "metadata")
+
+
+def log_rotated(spark, sf):
+    """The log in files: half, a snapshot that cuts it, the rest; the state after reading both again."""
+    lines = table(spark, sf, "active_wal").select("seq", "op", "id", "vector", "metadata", "timestamp").where("op IN ('clear', 'delete') OR (op = 'insert' AND vector IS NOT NULL)").where("op = 'clear' OR id IS NOT NULL")
+    half = (lines.agg(F.max("seq")).first()[0] or 0) // 2
+    kept = wal.DurableCollection(spark, work_path(spark, "durable"))
+    kept.append(lines.where(F.col("seq") <= half))
+    kept.rotate()
+    kept.append(lines.where(F.col("seq") > half))
+    return wal.DurableCollection(spark, kept.path).state().select("id")
+
+
+def removed_ids(spark, sf):
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    return mutation_log.removed(rows, rows.where("id % 3 = 0").select("id"))
+
+
+def cache_ttl(spark, sf):
+    """Requests of the last hour that answers of the last minute, of this and of an older version, could serve."""
+    r = table(spark, sf, "search_requests").where("vector IS NOT NULL AND top_k IS NOT NULL AND received_at IS NOT NULL").withColumn("received_at", F.col("received_at").cast("timestamp"))
+    now = r.agg(F.max("received_at")).first()[0]
+    made = cache.keyed(r).select("cache_key", F.col("received_at").alias("cached_at"), F.pmod(F.length("query_id") + F.unix_timestamp("received_at"), F.lit(2)).cast("int").alias("version"), F.col("query_id").alias("result"))
+    hits, misses = cache.split(r, made.withColumn("cached_at", F.col("cached_at") + F.expr("INTERVAL 59 SECONDS")), F.lit(now), 1)
+    return hits.select(F.lit("hit").alias("kind"), "query_id").unionByName(misses.select(F.lit("miss").alias("kind"), "query_id")).groupBy("kind").agg(F.count(F.lit(1)).alias("requests"))
+
+
+def engine_search(spark, sf):
+    engine = _changed(*_engine(spark, sf))
+    return engine.search(_asked(spark, sf), 10)
+
+
+def engine_stats(spark, sf):
+    engine, three = _engine(spark, sf)
+    before = engine.stats()
+    _changed(engine, three)
+    after = engine.stats()
+    engine.clear()
+    rows = [(n, s["size"], s["dimension"] or 0) for n, s in (("inserted", before), ("changed", after), ("cleared", engine.stats()))]
+    return spark.createDataFrame(rows, "at string, size long, dimension int")
+
+
+def engine_ivf_current(spark, sf):
+    """An inverted file of before the changes, all cells probed: what is gone is not found, what came is."""
+    engine, three = _engine(spark, sf)
+    path = work_path(spark, "engine-ivf")
+    engine.build_ivf(path, 8)
+    return _changed(engine, three).search_ivf(path, _asked(spark, sf), 10, 8)
+
+
+def engine_hnsw_current(spark, sf):
+    """The same with graphs, searched so widely that each row is a candidate."""
+    engine, three = _engine(spark, sf)
+    path = work_path(spark, "engine-hnsw")
+    engine.build_hnsw(path)
+    return _changed(engine, three).search_hnsw(path, _asked(spark, sf), 10, 100_000)
+
+
+def sql_knn(spark, sf):
+    register_sql(spark, _collection(spark, sf))
+    listed = ", ".join(f"{x!r}D" for x in _asked(spark, sf))
+    return spark.sql(f"SELECT rank, id, score, metadata FROM knn(array({listed}), 10)")
+
+
+def metrics_csv(spark, sf):
+    """Long-form metrics through a CSV file."""
+    path = work_path(spark, "metrics")
+    wide = evaluate.latency_percentiles(table(spark, sf, "events"), "value", ["event_type"]).select("event_type", "n", "p50", "p95")
+    results.write_metrics(wide, "event_type", path, "ms")
+    return spark.read.schema("benchmark_name string, metric_name string, value double, unit string").option("header", True).csv(path).withColumn("value", F.round("value", 6))
+
+
+def synthetic_norms(spark, sf):
+    v = synthetic.vectors(spark, 1000, DIMENSION)
+    return v.select(F.size("vector").alias("dimension"), F.round(V.l2_norm(F.col("vector")), 4).alias("norm")).groupBy("dimension", "norm").agg(F.count(F.lit(1)).alias("n"))
+
+
+def observed_rows(spark, sf):
+    """Counts taken while a query runs."""
+    metrics = observe.Registry()
+    seen = observe.Observed(table(spark, sf, "events"), "events", metrics, {"largest": F.max("event_id")})
+    seen.rows.write.format("noop").mode("overwrite").save()
+    got = seen.record()
+    return spark.createDataFrame([(got["rows"], got["largest"], float(metrics.value("events_rows_total")))], "rows long, largest long, counted double")
+
+
+def sharded_measures(spark, sf):
+    """Inserts and batch searches over 1, 2 and 4 shards: rows kept, answers given, recall against one search, and that each was timed."""
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")).withColumn("key", F.concat(F.lit("vec_"), F.col("id").cast("string")))
+    asked = rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector")
+    metrics, out = observe.Registry(), []
+    truth = exact.topk_batch(rows, asked, 10, dimension=DIMENSION)
+    for n in (1, 2, 4):
+        path = work_path(spark, "shards")
+        with metrics.timed("ingest", shards=n):
+            HashRing(NODES[:n]).assign(rows, "key").write.partitionBy("node").parquet(path)
+        shards = spark.read.parquet(path)
+        with metrics.timed("search", shards=n):
+            found = settle(exact.scatter_gather_batch(shards, "node", asked, 10, dimension=DIMENSION), "found")
+        timed = metrics.value("ingest_seconds", shards=n) == metrics.value("search_seconds", shards=n) == 1
+        out.append((n, shards.count(), found.count(), evaluate.recall_at_k(truth, found, 10).first().recall, timed))
+    return spark.createDataFrame(out, "shards int, stored long, answers long, recall double, timed boolean")
+
+
 QUERIES = {
     "ring_assign": ring_assign, "ring_distribution": ring_distribution, "ring_balance": ring_balance, "ring_movement": ring_movement, "modulo_movement": modulo_movement, "ring_golden": ring_golden, "key_digests": key_digests,
     "log_replay": log_replay, "log_replay_whole": log_replay_whole, "log_replay_bad_dim": log_replay_bad_dim, "snapshot_plus_log": snapshot_plus_log, "log_operations": log_operations, "insert_checked": insert_checked,
     "metadata_fields": metadata_fields, "heartbeat_active": heartbeat_active, "heartbeat_replicas": heartbeat_replicas, "worker_sessions": worker_sessions, "cache_key_dedupe": cache_key_dedupe,
     "latency_percentiles": latency_percentiles, "request_rate_1m": request_rate_1m, "cache_hit_ratio": cache_hit_ratio, "metrics_long": metrics_long, "stream_ingest": stream_ingest, "stream_rates": stream_rates,
+    "dataset_round_trip": dataset_round_trip, "dataset_migrated": dataset_migrated, "log_rotated": log_rotated, "removed_ids": removed_ids, "cache_ttl": cache_ttl,
+    "engine_search": engine_search, "engine_stats": engine_stats, "engine_ivf_current": engine_ivf_current, "engine_hnsw_current": engine_hnsw_current, "sql_knn": sql_knn,
+    "metrics_csv": metrics_csv, "synthetic_norms": synthetic_norms, "observed_rows": observed_rows, "sharded_measures": sharded_measures,
 }
 
 _KEYS = "WITH k AS (SELECT DISTINCT id AS key, sha256(id) AS h FROM stored_ids WHERE id IS NOT NULL)"
@@ -203,7 +351,36 @@ _LATENCY = """SELECT event_type, count(value) AS n, round(quantile_cont(value, 0
     round(quantile_cont(value, 0.99), 6) AS p99, round(avg(value), 6) AS mean, round(1000 / avg(value), 6) AS qps FROM events GROUP BY event_type"""
 _LAST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY worker_id ORDER BY last_seen DESC, ttl DESC NULLS LAST, role DESC NULLS LAST, host DESC NULLS LAST, port DESC NULLS LAST, primary_addr DESC NULLS LAST) AS rn FROM worker_heartbeats WHERE worker_id IS NOT NULL AND last_seen IS NOT NULL) WHERE rn = 1"
 
+_MADE = "SELECT 'vec_' || vec_id AS id, embedding::DOUBLE[] AS v, '{\"label\":' || label || '}' AS metadata, label, vec_id FROM embeddings"
+_LEFT = f"SELECT * FROM ({_MADE}) WHERE label <> 3 OR vec_id % 10 = 0"
+_NORM = "sqrt(list_dot_product({0}, {0}))"
+
+
+def _nearest(source: str) -> str:
+    q = "(SELECT embedding::DOUBLE[] FROM embeddings ORDER BY vec_id LIMIT 1)"
+    return f"""SELECT (row_number() OVER (ORDER BY s DESC, id))::INT AS rank, id, round(s, 6) AS score, metadata
+        FROM (SELECT *, greatest(-1.0, least(1.0, list_dot_product(v, {q}) / ({_NORM.format('v')} * {_NORM.format(q)}))) AS s FROM ({source})) QUALIFY rank <= 10"""
+
+
 SQL = {
+    "dataset_round_trip": f"SELECT id, metadata, round({_NORM.format('v')}, 6) AS norm FROM ({_MADE})",
+    "dataset_migrated": f"SELECT id, '{{}}' AS metadata FROM ({_MADE})",
+    "log_rotated": _replay(group="1", columns="id"),
+    "removed_ids": "SELECT vec_id AS id, label FROM embeddings WHERE vec_id % 3 <> 0",
+    "cache_ttl": """
+        WITH r AS (SELECT * FROM search_requests WHERE vector IS NOT NULL AND top_k IS NOT NULL AND received_at IS NOT NULL),
+        n AS (SELECT max(received_at) AS now FROM r),
+        c AS (SELECT DISTINCT vector, top_k FROM r, n WHERE received_at + INTERVAL 119 SECONDS > now AND (length(query_id) + epoch(date_trunc('second', received_at))::BIGINT) % 2 = 1)
+        SELECT CASE WHEN c.top_k IS NULL THEN 'miss' ELSE 'hit' END AS kind, count(*) AS requests FROM r LEFT JOIN c ON c.vector = r.vector AND c.top_k = r.top_k GROUP BY 1""",
+    "engine_search": _nearest(_LEFT),
+    "engine_stats": f"SELECT 'inserted' AS at, (SELECT count(*) FROM embeddings) AS size, {DIMENSION}::INT AS dimension UNION ALL SELECT 'changed', (SELECT count(*) FROM ({_LEFT})), {DIMENSION}::INT UNION ALL SELECT 'cleared', 0, 0",
+    "engine_ivf_current": _nearest(_LEFT),
+    "engine_hnsw_current": _nearest(_LEFT),
+    "sql_knn": _nearest(_MADE),
+    "metrics_csv": f"WITH w AS ({_LATENCY}) SELECT event_type AS benchmark_name, metric_name, value, 'ms' AS unit FROM (SELECT event_type, n::DOUBLE AS n, p50, p95 FROM w) UNPIVOT (value FOR metric_name IN (n, p50, p95))",
+    "synthetic_norms": f"SELECT {DIMENSION}::INT AS dimension, 1.0::DOUBLE AS norm, 1000::BIGINT AS n",
+    "observed_rows": "SELECT count(*) AS rows, max(event_id) AS largest, count(*)::DOUBLE AS counted FROM events",
+    "sharded_measures": "SELECT unnest([1, 2, 4])::INT AS shards, (SELECT count(*) FROM embeddings) AS stored, (SELECT 10 * count(*) FROM embeddings WHERE vec_id % 20 = 0) AS answers, 1.0::DOUBLE AS recall, TRUE AS timed",
     "ring_assign": _KEYS + _ring(NODES, "a") + " SELECT key, node FROM a",
     "ring_distribution": _KEYS + _ring(NODES, "a") + " SELECT node, count(*) AS keys, round(100.0 * count(*) / sum(count(*)) OVER (), 4)::DOUBLE AS share_pct FROM a GROUP BY node",
     "ring_balance": _KEYS + _ring(NODES, "a") + " SELECT round(stddev_pop(n), 6) AS std FROM (SELECT count(*) AS n FROM a GROUP BY node)",
