@@ -78,6 +78,8 @@ def test_all_equal_and_empty(spark):
     rows = [(i, [1.0] * DIM) for i in range(1, 200)]
     got = C.clustered(table(spark, rows)).collect()
     assert {(r.first_no, r.member_no) for r in got} == {(1, i) for i in range(1, 200)}
+    signs = [(i, [x * (-1.0 if i % 2 else 1.0) if x == 0 else x for x in [0.0, 1.0] * 32]) for i in range(1, 9)]
+    assert len(C.clustered(table(spark, signs)).collect()) == 8 and C.distinct_vectors(table(spark, signs), "request_no", "vector", DIM).count() == 1
     assert C.clustered(table(spark, rows[:4])).collect() == []
     assert C.clustered(table(spark, [])).collect() == [] and C.clustered(table(spark, BAD)).collect() == []
 
