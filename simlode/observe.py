@@ -15,7 +15,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0, 300.0)
@@ -116,6 +116,22 @@ class Registry:
         return "\n".join(lines) + "\n"
 
 
+def stages(spark: SparkSession, last: int = 50) -> list[dict]:
+    """What the newest stages cost: tasks, run and CPU seconds, GC, peak execution memory, bytes read, shuffled and spilled."""
+    jvm = spark.sparkContext._jvm
+    empty = jvm.java.util.ArrayList()
+    numbers = spark.sparkContext._gateway.new_array(jvm.double, 0)
+    seen = spark.sparkContext._jsc.sc().statusStore().stageList(empty, False, False, numbers, empty)
+    rows = []
+    for i in range(min(seen.size(), last)):
+        s = seen.apply(i)
+        rows.append({
+            "stage": s.stageId(), "tasks": s.numCompleteTasks(), "failed": s.numFailedTasks(), "run_s": s.executorRunTime() / 1e3, "cpu_s": s.executorCpuTime() / 1e9, "gc_s": s.jvmGcTime() / 1e3,
+            "peak_memory": s.peakExecutionMemory(), "read": s.inputBytes(), "shuffle_read": s.shuffleReadBytes(), "shuffle_write": s.shuffleWriteBytes(), "spilled": s.diskBytesSpilled(),
+        })
+    return rows
+
+
 class Observed:
     """A query whose rows are counted as they pass."""
 

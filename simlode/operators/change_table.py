@@ -1,7 +1,9 @@
 """A keyed table kept current by a stream of inserts, updates, deletes and clears.
 
-Bucketed copy-on-write. The table is hashed by key into a fixed number of
-buckets. A batch of changes is reduced to the latest change of each key, routed
+Bucketed copy-on-write. The table is hashed by key into buckets; their number
+is doubled, with one rewriting of all, whenever the stored rows could be more
+than ``rows_a_bucket`` each, so a bucket stays as large as it was meant to be.
+A batch of changes is reduced to the latest change of each key, routed
 to its bucket by the same hash, and merged with the stored rows of the touched
 buckets only; those get replacement files under a new version folder, the
 others keep theirs. A version exists once its manifest does, and manifests are
@@ -34,6 +36,7 @@ from pyspark.sql import types as T
 from simlode.sources import files
 
 FIXED = ("grp", "key", "kind", "ts", "seq")
+ROWS_A_BUCKET = 1 << 20
 
 
 def _latest(payload: list[str]) -> Column:
@@ -42,10 +45,10 @@ def _latest(payload: list[str]) -> Column:
 
 
 class ChangeTable:
-    """One table below ``path``; ``payload`` names the columns kept beside the key."""
+    """One table below ``path``; ``payload`` names the columns kept beside the key, ``buckets`` is their number at first."""
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, payload: T.StructType | None = None):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, payload: T.StructType | None = None, rows_a_bucket: int = ROWS_A_BUCKET):
+        self.spark, self.path, self.rows_a_bucket = spark, path.rstrip("/"), rows_a_bucket
         self.payload = payload or T.StructType([])
         if set(self.payload.names) & {*FIXED, "bucket"}:
             raise ValueError(f"payload columns may not be called {', '.join([*FIXED, 'bucket'])}")
@@ -64,11 +67,11 @@ class ChangeTable:
     def manifest(self, version: int | None = None) -> dict:
         at = self.version() if version is None else version
         if not at:
-            return {"version": 0, "buckets": self.buckets, "files": {}, "clears": None}
+            return {"version": 0, "buckets": self.buckets, "files": {}, "clears": None, "most": 0}
         return files.read_json(self.spark, f"{self.path}/manifests/{at:010d}.json")
 
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64("grp", "key"), F.lit(self.buckets)).cast("int")
+    def _bucket(self, buckets: int) -> Column:
+        return F.pmod(F.xxhash64("grp", "key"), F.lit(buckets)).cast("int")
 
     def _rows(self, places: list[str]) -> DataFrame:
         if not places:
@@ -92,29 +95,42 @@ class ChangeTable:
 
         # Latest change of each key, combined on the map side, then routed.
         wanted = sound.where("kind <> 'clear' AND key IS NOT NULL").select("grp", "key", "kind", "ts", "seq", *names)
-        latest = wanted.groupBy("grp", "key").agg(_latest(names).alias("n")).select("grp", "key", "n.*").withColumn("bucket", self._bucket())
+        latest = wanted.groupBy("grp", "key").agg(_latest(names).alias("n")).select("grp", "key", "n.*")
         routed = f"{self.path}/{home}/routed"
         latest.write.parquet(routed)
-        latest = self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField("bucket", T.IntegerType())])).parquet(routed)
-        touched = sorted(r.bucket for r in latest.select("bucket").distinct().collect())  # at most `buckets` numbers
-
-        places = [old["files"][str(b)] for b in touched if str(b) in old["files"]]
+        latest = self.spark.read.schema(self.schema).parquet(routed)
+        most = old["most"] + latest.count()  # of the stored rows: keys that were there already count twice
+        buckets = old["buckets"]
+        while most > buckets * self.rows_a_bucket:
+            buckets *= 2
+        latest = latest.withColumn("bucket", self._bucket(buckets))
+        if buckets != old["buckets"]:
+            touched, places = list(range(buckets)), list(old["files"].values())
+        else:
+            touched = sorted(r.bucket for r in latest.select("bucket").distinct().collect())  # at most `buckets` numbers
+            places = [old["files"][str(b)] for b in touched if str(b) in old["files"]]
         merged = latest
         if places:
-            merged = self._merge(self._rows(places), latest)
+            merged = self._merge(self._rows(places).withColumn("bucket", self._bucket(buckets)), latest)
         if touched:
             # A few buckets a task, each bucket in one sorted file.
             (merged.repartition(len(touched), "bucket").sortWithinPartitions("bucket", "grp", "key")
              .write.partitionBy("bucket").parquet(f"{self.path}/{home}/rows"))
         files.delete(self.spark, routed)
-        replaced = {str(b): f"{home}/rows/bucket={b}" for b in touched}
-        files.commit_json(self.spark, f"{self.path}/manifests/{new:010d}.json", {"version": new, "buckets": self.buckets, "files": {**old["files"], **replaced}, "clears": f"{home}/clears"})
+        if buckets != old["buckets"]:  # some buckets may have no row; what is stored is known anew
+            made = set(files.children(self.spark, f"{self.path}/{home}/rows"))
+            kept = {str(b): f"{home}/rows/bucket={b}" for b in touched if f"bucket={b}" in made}
+            most = self._rows(sorted(kept.values())).count()
+        else:
+            kept = {**old["files"], **{str(b): f"{home}/rows/bucket={b}" for b in touched}}
+        files.commit_json(self.spark, f"{self.path}/manifests/{new:010d}.json", {"version": new, "buckets": buckets, "files": kept, "clears": f"{home}/clears", "most": most})
+        self.buckets = buckets
         return new
 
     def _merge(self, base: DataFrame, latest: DataFrame) -> DataFrame:
         """Sort-merge of stored rows with the latest changes of the same buckets."""
         names = ["kind", "ts", "seq", *self.payload.names]
-        b = base.withColumn("bucket", self._bucket()).select("bucket", "grp", "key", F.struct(*names).alias("b"))
+        b = base.select("bucket", "grp", "key", F.struct(*names).alias("b"))
         n = latest.select("bucket", "grp", "key", F.struct(*names).alias("n")).hint("merge")
         on = (b.bucket == n.bucket) & b.grp.eqNullSafe(n.grp) & (b.key == n.key)
         newer = F.col("b").isNull() | F.col("n.ts").__gt__(F.col("b.ts")) | ((F.col("n.ts") == F.col("b.ts")) & (F.col("n.seq") < F.col("b.seq")))

@@ -116,3 +116,17 @@ def test_versions_touched_buckets_and_vacuum(spark):
 def test_reserved_payload_names(spark):
     with pytest.raises(ValueError):
         ChangeTable(spark, work_path(spark, "t"), 2, T.StructType([T.StructField("ts", T.IntegerType())]))
+
+
+def test_buckets_grow_with_the_table(spark):
+    store = ChangeTable(spark, work_path(spark, "grow"), 2, rows_a_bucket=10)
+    rows = []
+    for batch in range(6):
+        rows += [("g", f"k{(batch * 17 + i) % 70}", "put" if i % 5 else "del", float(batch), batch * 100 + i) for i in range(25)]
+        store.apply(spark.createDataFrame(rows[-25:], "grp string, key string, kind string, ts double, seq long"))
+    want = {k: s for _, k, kind, _, s in rows if kind == "put"}
+    last = {k: (kind, s) for _, k, kind, _, s in rows}
+    assert {r.key: r.seq for r in store.rows().collect()} == {k: s for k, (kind, s) in last.items() if kind == "put"} and want
+    assert store.buckets >= 8 and ChangeTable(spark, store.path).buckets == store.buckets
+    store.vacuum()
+    assert store.rows().count() == sum(kind == "put" for kind, _ in last.values())

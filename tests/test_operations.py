@@ -290,6 +290,12 @@ def test_observed_rows_and_metrics(spark):
         registry.gauge("scan_rows_total", 1)
 
 
+def test_stages_tell_what_they_cost(spark):
+    spark.range(1000).repartition(3).count()
+    seen = observe.stages(spark)
+    assert len(seen) >= 2 and {"cpu_s", "peak_memory", "shuffle_write", "spilled"} <= set(seen[0]) and any(s["shuffle_write"] for s in seen)
+
+
 def test_logs_are_json_lines():
     out = io.StringIO()
     logger = observe.json_logger("simlode.test", out)
