@@ -128,10 +128,10 @@ def exact_search_requests(spark, sf):
 
 
 def ivf_search_requests(spark, sf):
-    """The same through a trained inverted file of 64 cells, of which 16 are probed."""
+    """The same through a trained inverted file, probed widely enough for a recall of 0.9 at every size."""
     rows, asked = _requests(spark, sf)
     rows = settle(rows, "requests")
-    return _index(rows, ivf.kmeans(rows, CELLS, rounds=6)).search_batch(asked, K, 16)
+    return _index(rows, ivf.kmeans(rows, CELLS, rounds=6)).search_batch(asked, K, PROBES)
 
 
 def recall_ivf_requests(spark, sf):
