@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from simlode.functions import vector as V
 from simlode.operators import exact, hnsw, ivf, mutation_log, pq
 from simlode.operators.change_table import ChangeTable
+from simlode.observe import Registry
+from simlode.session import ship
 from simlode.sources import dataset
 
 PAYLOAD = T.StructType([T.StructField("vector", T.ArrayType(T.FloatType())), T.StructField("metadata", T.StringType())])
@@ -30,6 +32,7 @@ class VectorEngine:
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
+        ship(spark)
         self.spark, self.table, self.path = spark, ChangeTable(spark, path, buckets, PAYLOAD), path.rstrip("/")
 
     def _next(self) -> int:
@@ -48,6 +51,13 @@ class VectorEngine:
         first = self.rows().select(F.size("vector")).first() if n else None
         return {"status": "healthy", "size": n, "dimension": first[0] if first else None, "version": self.table.version()}
 
+    def metrics(self, registry: Registry | None = None) -> str:
+        """Size, dimension and version as gauges beside what the registry holds, in the text exposition format."""
+        registry, s = registry or Registry(), self.stats()
+        for name in ("size", "dimension", "version"):
+            registry.gauge(f"collection_{name}", s[name] or 0, collection=self.path)
+        return registry.text()
+
     def insert(self, batch: DataFrame, order: str | None = None) -> int:
         """Add ``id, vector, metadata``; raises ``ValueError`` naming the first refused row."""
         order = order or "id"

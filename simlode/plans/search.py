@@ -74,7 +74,7 @@ def zero_norm_cosine(spark, sf):
 
 
 def subvector_norms(spark, sf):
-    parts = F.explode(F.transform(F.sequence(F.lit(0), F.lit(M - 1)), lambda m: F.struct(m.alias("m"), F.slice("vector", m * (DIM // M) + 1, DIM // M).alias("s"))))
+    parts = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), V.subvector(F.col("vector"), m, DIM // M).alias("s")) for m in range(M)]))
     return _vectors(spark, sf).select("id", parts.alias("p")).select("id", "p.m", F.round(V.l2_norm(F.col("p.s")), 6).alias("norm"))
 
 

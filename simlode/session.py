@@ -15,7 +15,7 @@ from simlode.sources import files
 
 
 def build_session(master: str = "local[*]", app: str = "simlode", **conf: str) -> SparkSession:
-    """A session with the settings the operators expect (UTC, AQE, Arrow)."""
+    """A session with the settings the operators expect (UTC, AQE, Arrow), whose executors have the package."""
     builder = (
         SparkSession.builder.master(master)
         .appName(app)
@@ -27,7 +27,9 @@ def build_session(master: str = "local[*]", app: str = "simlode", **conf: str) -
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
 
 
 def shared_root(spark: SparkSession) -> str:

@@ -170,6 +170,7 @@ def test_engine(spark):
         with pytest.raises(ValueError):
             e.insert(batch(*bad))
     assert e.stats() == {"status": "healthy", "size": 3, "dimension": 3, "version": 1}
+    assert f'collection_size{{collection="{e.path}"}} 3' in e.metrics()
     for query, k in (([1.0], 1), ([1.0, 0, 0], 0)):
         with pytest.raises(ValueError):
             e.search(query, k)
