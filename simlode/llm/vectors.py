@@ -27,9 +27,3 @@ def unit(rows: np.ndarray) -> np.ndarray:
     x = rows.astype(np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
-
-
-def lists(rows: np.ndarray) -> pa.Array:
-    """Rows of a matrix as an Arrow list column."""
-    offsets = np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.ravel()))
