@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from simlode.llm.vectors import matrix, sound, unit
+from simlode.llm.vectors import binary, from_binary, matrix, sound, unit
 
 TABLES, PARTS, PROBES, THRESHOLD = 8, 2, 12, 1
 FLOOR, DEFAULT_K, PLACES = 0.85, 5, 6
@@ -112,12 +112,6 @@ def _packed(rows: np.ndarray, k: np.ndarray) -> np.ndarray:
     return np.concatenate([small.astype(np.int8).view(np.uint8), tail.view(np.uint8)], axis=1)
 
 
-def _binary(rows: np.ndarray) -> pa.Array:
-    rows = np.ascontiguousarray(rows)
-    offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
-    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(rows)])
-
-
 class Layout:
     """Into how many blocks of rows and of queries each key is split."""
 
@@ -159,7 +153,7 @@ def _entries(rows: DataFrame, dimension: int, asks: bool, layout) -> DataFrame:
                 row = np.repeat(np.arange(len(v)), key.shape[1])
                 entry, place = layout.value.places(key.ravel(), (n[row] * 0x9E3779B1 >> 7) & 0xFFFFFF, asks)
                 row = row[entry]
-                yield pa.RecordBatch.from_arrays([pa.array(place * 2 + (not asks)), pa.array(n[row]), _binary(code[row])], names=["w", "n", "code"])
+                yield pa.RecordBatch.from_arrays([pa.array(place * 2 + (not asks)), pa.array(n[row]), binary(code[row])], names=["w", "n", "code"])
 
     return rows.mapInArrow(run, "w long, n long, code binary")
 
@@ -272,10 +266,8 @@ def _collisions(entries: DataFrame, dimension: int, floor: float) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            code = batch.column("code")
-            offsets = np.frombuffer(code.buffers()[1], np.int32)[code.offset : code.offset + len(code) + 1]
-            held.append((batch.column("w").to_numpy(), batch.column("n").to_numpy(), np.frombuffer(code.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(len(code), -1)))
-            fresh += len(code)
+            held.append((batch.column("w").to_numpy(), batch.column("n").to_numpy(), from_binary(batch.column("code"), dimension + 12, np.uint8)))
+            fresh += batch.num_rows
             if fresh >= _ENTRIES:
                 yield flush()
                 fresh = 0
