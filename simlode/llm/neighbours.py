@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from simlode.llm.vectors import binary, from_binary, matrix, sound, unit
+from simlode.llm.vectors import binary, from_binary, packed, sound, unit
 
 TABLES, PARTS, PROBES, THRESHOLD = 8, 2, 12, 1
 FLOOR, DEFAULT_K, PLACES = 0.85, 5, 6
@@ -146,7 +146,7 @@ def _entries(rows: DataFrame, dimension: int, asks: bool, layout) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 batch = whole.slice(at, 2048)
-                v = unit(matrix(batch.column("v"), dimension))
+                v = unit(from_binary(batch.column("v"), dimension, np.float32))
                 n = batch.column("n").to_numpy(zero_copy_only=False)
                 code = _packed(v, batch.column("k").to_numpy(zero_copy_only=False))
                 key = (windows(v) if asks else keys(v)).reshape(len(v), -1)
@@ -169,7 +169,7 @@ def _layout(rows: DataFrame, queries: DataFrame, dimension: int, row_block: int,
 
         def run(batches: Iterator[pa.RecordBatch], of=of) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield pa.RecordBatch.from_arrays([pa.array(of(unit(matrix(batch.column("v"), dimension))).ravel())], names=["key"])
+                yield pa.RecordBatch.from_arrays([pa.array(of(unit(from_binary(batch.column("v"), dimension, np.float32))).ravel())], names=["key"])
 
         share = min(1.0, SAMPLE / total)
         some = side.where(F.pmod(F.xxhash64(F.col("n"), F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("v")
@@ -303,7 +303,7 @@ def _verified(pairs: DataFrame, queries: DataFrame, dimension: int, floor: float
     shared = pairs.sparkSession.sparkContext.broadcast(some if held else None)
 
     def cosines(u: pa.Array, v: np.ndarray, q: pa.Array, k: np.ndarray, n: np.ndarray, group: np.ndarray) -> pa.RecordBatch:
-        cos = (unit(matrix(u, dimension)) * v).sum(1)
+        cos = (unit(from_binary(u, dimension, np.float32)) * v).sum(1)
         at = np.flatnonzero(cos >= floor)
         cos = np.round(cos, PLACES)
         at = at[_best(group[at], k[at], n[at], cos[at])]
@@ -312,7 +312,7 @@ def _verified(pairs: DataFrame, queries: DataFrame, dimension: int, floor: float
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if held:
             own = shared.value
-            i, v, ks = own.column("i").to_numpy(), unit(matrix(own.column("v"), dimension)), own.column("k").to_numpy()
+            i, v, ks = own.column("i").to_numpy(), unit(from_binary(own.column("v"), dimension, np.float32)), own.column("k").to_numpy()
             names = pa.concat_arrays(own.column("q").chunks) if own.num_rows else pa.array([], pa.string())
         for batch in batches:
             group, n = batch.column("i").to_numpy(), batch.column("n").to_numpy()
@@ -320,7 +320,7 @@ def _verified(pairs: DataFrame, queries: DataFrame, dimension: int, floor: float
                 at = np.searchsorted(i, group)
                 yield cosines(batch.column("u"), v[at], names.take(pa.array(at)), ks[at], n, group)
             else:
-                yield cosines(batch.column("u"), unit(matrix(batch.column("v"), dimension)), batch.column("q"), batch.column("k").to_numpy(), n, group)
+                yield cosines(batch.column("u"), unit(from_binary(batch.column("v"), dimension, np.float32)), batch.column("q"), batch.column("k").to_numpy(), n, group)
 
     wanted = pairs.select("i", "n", "u") if held else pairs.join(asked, "i").select("i", "n", "u", "q", "k", "v")
     return wanted.mapInArrow(run, "q string, k long, n long, cosine double")
@@ -338,7 +338,7 @@ def _all_pairs(rows: DataFrame, queries: DataFrame, dimension: int, floor: float
     def run(table: pa.Table) -> pa.Table:
         asks = table.column("asks").to_numpy()
         own, others = np.flatnonzero(asks), np.flatnonzero(~asks)
-        v = unit(matrix(table.column("v"), dimension))
+        v = unit(from_binary(table.column("v"), dimension, np.float32))
         n, k = table.column("n").take(pa.array(others)).to_numpy(), table.column("k").take(pa.array(own)).to_numpy()
         parts = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
         for at in range(0, len(own), 128):
@@ -360,8 +360,8 @@ def most_similar(
 ) -> DataFrame:
     """``query, number, cosine, place``: up to k rows of the collection for each request."""
     spark = collection.sparkSession
-    queries = asked(requests, query, vector, top_k, dimension)
-    rows = sound(collection.select(F.col(f"`{number}`").cast("long").alias("n"), F.col(f"`{vector}`").cast("array<float>").alias("v")).where("n IS NOT NULL"), F.col("v"), dimension)
+    queries = packed(asked(requests, query, vector, top_k, dimension), dimension)
+    rows = packed(collection.select(F.col(f"`{number}`").cast("long").alias("n"), F.col(f"`{vector}`").cast("array<float>").alias("v")).where("n IS NOT NULL"), dimension)
     if exact:
         near = _all_pairs(rows, queries, dimension, floor)
     else:

@@ -48,7 +48,8 @@ def from_binary(column: pa.Array | pa.ChunkedArray, width: int, kind: type) -> n
 
 
 def packed(df: DataFrame, dimension: int) -> DataFrame:
-    """Of ``n, v`` the rows with a sound vector (as in :func:`sound`), which becomes its bytes: single precision, -0 as 0."""
+    """The rows with a sound vector ``v`` (as in :func:`sound`), which becomes its bytes: single precision, -0 as 0."""
+    others = [c for c in df.columns if c != "v"]
 
     def run(batches):
         for batch in batches:
@@ -58,6 +59,8 @@ def packed(df: DataFrame, dimension: int) -> DataFrame:
             at = np.flatnonzero(np.diff(offsets) == dimension)
             rows = flat[(offsets[at] - offsets[0])[:, None] + np.arange(dimension)].astype(np.float32, copy=False) + np.float32(0) if len(at) else np.empty((0, dimension), np.float32)
             fine = np.isfinite(rows).all(1) & (rows != 0).any(1)
-            yield pa.RecordBatch.from_arrays([batch.column("n").take(pa.array(at[fine])), binary(rows[fine])], names=["n", "v"])
+            keep = pa.array(at[fine])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(keep) for c in others), binary(rows[fine])], names=[*others, "v"])
 
-    return df.where("n IS NOT NULL AND v IS NOT NULL").select("n", "v").mapInArrow(run, "n long, v binary")
+    schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in others)
+    return df.where("v IS NOT NULL").select(*others, "v").mapInArrow(run, f"{schema}, v binary")
