@@ -285,6 +285,19 @@ class KeyTables:
         """Remove keys that have been inserted; one that is repeated in ``keys`` counts once."""
         self._commit(self._routed(keys, key, REMOVE, F.lit(0)))
 
+    def vacuum(self) -> None:
+        """Drop all manifests but the newest and what that does not name; answers given before can no longer be read."""
+        names = [n for n in files.children(self.spark, f"{self.path}/manifests") if n.endswith(".json")]
+        kept = {*self.manifest()["files"].values()}
+        for n in names[:-1]:
+            files.delete(self.spark, f"{self.path}/manifests/{n}")
+        for home in files.children(self.spark, f"{self.path}/data"):
+            if int(home.split("-")[0]) > int(names[-1].removesuffix(".json")):
+                continue  # a batch that is being written
+            for part in files.children(self.spark, f"{self.path}/data/{home}"):
+                if f"data/{home}/{part}" not in kept:
+                    files.delete(self.spark, f"{self.path}/data/{home}/{part}")
+
     def _commit(self, routed: DataFrame) -> DataFrame:
         spark, old, expected = self.spark, self.manifest(), self.expected
         routed = settle(routed, "keys")

@@ -119,6 +119,8 @@ def test_kept_tables(spark, tmp_path):
     one = M.KeyTables(spark, f"{tmp_path}/keys").manifest()
     store.add(spark.createDataFrame([("one more",)], "id string"), "id")
     assert sum(one["files"][p] != f for p, f in store.manifest()["files"].items()) == 1  # only the touched partition
+    store.vacuum()
+    assert numbers(store.seen(frame([(3001, "one more"), (3002, "k12"), (3003, "k10"), (3004, "new")]), "request_no", "id")) == {3001, 3002, 3003}
 
 
 def test_wrong_answers_are_absorbed_and_can_be_removed(spark, tmp_path, monkeypatch):

@@ -23,7 +23,7 @@ def data(seed=0, groups=12, single=60):
     return [(int(i + 1), [float(np.float32(x)) for x in rows[k]]) for i, k in enumerate(order)]
 
 
-BAD = [(9001, None), (9002, [0.0] * DIM), (9003, [1.0] * 63), (9004, [float("nan")] + [1.0] * 63), (9005, [float("inf")] * DIM), (None, [1.0] * DIM), (9006, [])]
+BAD = [(9001, None), (9002, [0.0] * DIM), (9003, [1.0] * 63), (9004, [float("nan")] + [1.0] * 63), (9005, [float("inf")] * DIM), (None, [1.0] * DIM), (9006, []), (9007, [None] + [1.0] * 63), (9008, [1.0] * 65)]
 SCHEMA = "request_no long, vector array<float>, n string, v int, density string"
 
 
