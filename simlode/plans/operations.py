@@ -149,27 +149,27 @@ def stream_ingest(spark, sf):
     return store.rows().select(F.col("grp").alias("shard"), F.col("key").alias("id"), "seq")
 
 
-def _deliveries(spark, sf):
-    """The events as files of a folder: those of the first and second half of the time, then a last one with the latest and some that are late."""
+def stream_rates(spark, sf):
+    """Requests per hour of the event stream: windows that the watermark has closed, without events later than it allows.
+
+    The events come in three deliveries: those of the first half of the time and
+    of the next quarter, then the rest with some that are late. The query is
+    started anew for each and goes on from its checkpoint.
+    """
     events = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     first, last = events.agg(F.min("ts"), F.max("ts")).first()
-    path = work_path(spark, "deliveries")
+    path = work_path(spark, "rates")
+    rates = lambda rows: ingest.request_rates(rows, width="1 hour", by=["event_type"])
+    schema = rates(events).schema
     if first is not None:
         cut = lambda share: F.lit(first + (last - first) * share)
         late = F.col("event_id") % 50 == 0
         for part in (~late & (F.col("ts") < cut(0.5)), ~late & (F.col("ts") >= cut(0.5)) & (F.col("ts") < cut(0.75)), late | (F.col("ts") >= cut(0.75))):
-            events.where(part).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
-
-
-def stream_rates(spark, sf):
-    """Requests per hour of the event stream: windows that the watermark has closed, without events later than it allows."""
-    events = _deliveries(spark, sf)
-    path = work_path(spark, "rates")
-    rates = ingest.request_rates(events, width="1 hour", by=["event_type"])
-    writer = rates.writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{path}/checkpoint")
-    writer.format("parquet").start(f"{path}/out").awaitTermination()
-    return spark.read.schema(rates.schema).parquet(f"{path}/out").select(F.unix_timestamp("window_start").alias("hour"), "event_type", "requests")
+            events.where(part).write.mode("append").parquet(f"{path}/in")
+            writer = rates(spark.readStream.schema(events.schema).parquet(f"{path}/in")).writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{path}/checkpoint")
+            writer.format("parquet").start(f"{path}/out").awaitTermination()
+    done = spark.read.schema(schema).parquet(f"{path}/out") if first is not None else spark.createDataFrame([], schema)
+    return done.select(F.unix_timestamp("window_start").alias("hour"), "event_type", "requests")
 
 
 def _collection(spark, sf):
@@ -420,7 +420,7 @@ SQL = {
     "stream_rates": """
         WITH s AS (SELECT min(ts) AS a, max(ts) AS z FROM events),
         e AS (SELECT ts, event_type, date_trunc('hour', ts) AS h, event_id % 50 = 0 AS late FROM events),
-        w AS (SELECT max(ts) - INTERVAL 10 MINUTES AS w FROM e, s WHERE NOT late AND ts < a + (z - a) * 0.5)
+        w AS (SELECT max(ts) - INTERVAL 10 MINUTES AS w FROM e, s WHERE NOT late AND ts < a + (z - a) * 0.75)
         SELECT epoch(h)::BIGINT AS hour, event_type, count(*) AS requests FROM e, s, w
         WHERE h + INTERVAL 1 HOUR <= z - INTERVAL 10 MINUTES AND NOT (late AND h + INTERVAL 1 HOUR <= w) GROUP BY ALL""",
 }
