@@ -1,10 +1,15 @@
 """Clusters and neighbours against brute force."""
 
+import glob
+import time
+
 import numpy as np
 import pytest
 
 from simlode.llm import clusters as C
 from simlode.llm import neighbours as N
+from simlode.session import shared_root
+from simlode.sources import files
 
 DIM = 64
 
@@ -63,6 +68,43 @@ def test_clusters_in_small_blocks(spark, monkeypatch):
     assert {(r.first_no, r.member_no) for r in C.clustered(t, exact=True).collect()} == true_clusters(rows)
 
 
+def test_lots_hold_every_cell_once(monkeypatch):
+    monkeypatch.setattr(C, "BLOCK", 10)
+    homes, asked = {0: 95, 1: 3, 2: 40}, {0: 200, 1: 60, 3: 7, 2: 10}
+    got = list(C.lots(homes, asked, 50))
+    cells = [c for lot in got for c in lot]
+    assert sorted(cells) == [(p, h, q) for p in range(3) for h in range(-(-homes[p] // 10)) for q in range(-(-asked[p] // 10))]
+    assert len(got) > 50 and max(map(len, got)) <= 5 and list(C.lots(homes, asked, 1)) == [[c] for c in cells]
+    assert len(list(C.lots(homes, asked, 10**6))) == 1 and list(C.lots({}, {}, 10)) == []
+
+
+def test_clusters_leave_no_copies_on_disk(spark, monkeypatch):
+    monkeypatch.setattr(C, "BLOCK", 40)
+    monkeypatch.setattr(C, "LOT_ROWS", 1)
+    rows = data(3)
+    folders = [d.getPath() for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    shuffled = lambda: {f for d in folders for f in glob.glob(f"{d}/*/shuffle_*")}
+    shared_root(spark)
+    shared = lambda: set(files.children(spark, shared_root(spark)))
+    # The files of every query are gone before the next that writes much, and at the end.
+    old, kept, settle, left = shuffled(), shared(), C.settle, []
+
+    def watched(*args, **kw):
+        for _ in range(50):  # files are deleted in the background
+            if not shuffled() - old:
+                break
+            time.sleep(0.1)
+        left.append(len(shuffled() - old))
+        return settle(*args, **kw)
+
+    monkeypatch.setattr(C, "settle", watched)
+    members = C.clustered(table(spark, rows), components=(2,))
+    assert left == [0] * len(left) and len(left) > 4  # several lots
+    assert {x.split("-")[0] for x in shared() - kept} == {"sets"}
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    assert {(r.first_no, r.member_no) for r in members.collect()} == true_clusters(rows)
+
+
 def test_numbers_of_components():
     assert C.numbers_of_components(0) == (4, 8, 16) and C.numbers_of_components(88_000) == (128, 256, 512)
     assert C.numbers_of_components(10**9)[-1] == C.MOST_COMPONENTS
